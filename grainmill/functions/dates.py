@@ -24,6 +24,8 @@ NUMERIC_REWRITES = [
     (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + REST, "$1-$2-$3"),
 ]
 ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?$"
+NUMERIC_SHAPE = r"(?U)^\s*\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}"
+NAMED_SHAPE = r"(?U)^\s*(?:\d{1,2}\s+)?\p{L}{3,}\.?\s.*\d{4}\s*$"
 MONTH_WORD = r"^(?:(\d{1,2})\s+)?([\p{L}]+)\.?\s+(?:(\d{1,2}),?\s+)?(\d{4})$"
 
 
@@ -47,8 +49,9 @@ def parse_local_date(c: Column) -> Column:
     numeric = strip(c)
     for pattern, rewritten in NUMERIC_REWRITES:
         numeric = F.regexp_replace(numeric, pattern, rewritten)
-    numeric = F.regexp_extract(numeric, ISO_DATE, 0)
-    return F.coalesce(numeric.try_cast("timestamp_ntz"), F.when(c.rlike(r"\p{L}{3}"), _named_date(strip(c))))
+    numeric = F.regexp_extract(numeric, ISO_DATE, 0).try_cast("timestamp_ntz")
+    # Cells of neither shape, the common case in a text column, stop at these two tests.
+    return F.when(c.rlike(NUMERIC_SHAPE), numeric).when(c.rlike(NAMED_SHAPE), _named_date(strip(c)))
 
 
 def _named_date(text: Column) -> Column:

@@ -18,6 +18,9 @@ DOTTED_NUMBER = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$"
 # Text escape, currency, separators of thousands, and a percent sign that ends the number.
 NUMBER_NOISE = rf"(?i)^'|{CURRENCY}|[ \u00a0\u202f]|%(?=(?:[ \u00a0\u202f]|{CURRENCY})*$)"
 
+# What may stand before the first digit; words and codes stop here without further work.
+MAYBE_NUMBER = rf"(?iU)^(?:[\s'+\-.,]|{CURRENCY})*\d"
+
 # A mark that is followed by a later, different mark which ends the marks.
 THOUSANDS_MARK = r"\.(?=.*,[^.]*$)|,(?=.*\.[^,]*$)"
 
@@ -39,8 +42,16 @@ def finite(c: Column) -> Column:
 
 def _double(text: Column) -> Column:
     """Number from text with ',' and '.'; the last of the two is the decimal mark."""
-    dotted = F.translate(F.regexp_replace(text, THOUSANDS_MARK, ""), ",", ".")
-    return F.regexp_extract(dotted, DOTTED_NUMBER, 0).try_cast("double")
+    return cast_number(F.translate(F.regexp_replace(text, THOUSANDS_MARK, ""), ",", "."))
+
+
+def cast_number(text: Column) -> Column:
+    """Double from dotted text, NULL otherwise.
+
+    Casting unreadable text raises and catches an exception for every cell, so only what matches
+    the pattern reaches the cast.
+    """
+    return F.get(F.regexp_extract_all(text, F.lit(DOTTED_NUMBER), 0), F.lit(0)).try_cast("double")
 
 
 def parse_local_number(c: Column, allow_free: bool = False) -> Column:
@@ -48,7 +59,7 @@ def parse_local_number(c: Column, allow_free: bool = False) -> Column:
 
     Words for "missing" need no list of their own: none of them reads as a number.
     """
-    number = _double(F.regexp_replace(strip(c), NUMBER_NOISE, ""))
+    number = F.when(c.rlike(MAYBE_NUMBER), _double(F.regexp_replace(strip(c), NUMBER_NOISE, "")))
     if allow_free:
         word = F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
         number = F.coalesce(number, F.when(word.isin(V.FREE_WORDS), F.lit(0.0)))
@@ -77,7 +88,7 @@ def parse_strict_amount(c: Column) -> Column:
     """Positive amount of at most 100 million with at most two decimals, else NULL."""
     text = F.translate(F.regexp_replace(c, r"(?U)\s", ""), ",", ".")
     # Nine digits at most before the mark: a longer number is above the limit anyway.
-    amount = F.regexp_extract(text, r"^0*(\d{1,9}(?:\.\d{1,2})?)$", 1).try_cast("double")
+    amount = F.get(F.regexp_extract_all(text, F.lit(r"^0*(\d{1,9}(?:\.\d{1,2})?)$"), 1), F.lit(0)).try_cast("double")
     return F.when(amount.between(0.01, 100_000_000), amount)
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from grainmill.functions import vocabulary as V
 from grainmill.functions.dates import as_date, bucket_label, is_date_type, time_bucket, time_unit
-from grainmill.functions.numbers import as_number, display_number, is_numeric_type, round_even
+from grainmill.functions.numbers import as_number, cast_number, display_number, is_numeric_type, round_even
+from grainmill.functions.text import strip
 from grainmill.operators.cleaning import date_columns
 from grainmill.operators.counting import distinct_up_to, grouped_median
 from grainmill.operators.profile import value_frequency
@@ -146,7 +147,7 @@ def grouped_chart(df: DataFrame, dimension: str, measure: str | None = None, agg
         number = quoted(measure)
         if not isinstance(df.schema[measure].dataType, T.DecimalType):
             plain_text = isinstance(df.schema[measure].dataType, T.StringType)
-            number = number.try_cast("double") if plain_text else _numbers(df, measure)
+            number = cast_number(strip(number)) if plain_text else _numbers(df, measure)
         pairs = rows.select(group.alias("grp"), number.alias("value")).where(F.col("value").isNotNull())
     pairs = pairs.where(F.col("grp").isNotNull())
     if aggregation == "median":

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from grainmill.functions.dates import CLEANING_DATE_SHAPE, TYPING_DATE_SHAPE, as_date, is_date_type, parse_local_date
 from grainmill.functions.numbers import is_numeric_type, parse_local_number
-from grainmill.functions.text import blank_to_null, normalize_name, strip
+from grainmill.functions.text import PLAIN_NUMBER, blank_to_null, normalize_name, strip
 from grainmill.operators import roles
 from grainmill.operators.counting import column_medians, column_modes, duplicate_rows
 from grainmill.operators.harmonise import affected_rows, harmonisation_map, harmonise
@@ -251,26 +251,30 @@ def _cleaning_log(counts: DataFrame, actions: list[str]) -> DataFrame:
 
 def date_columns(df: DataFrame) -> list[str]:
     """Columns that hold dates: typed ones, and text columns whose cells read as dates."""
-    fields = [f for f in df.schema if isinstance(f.dataType, T.StringType)]
     typed = {f.name for f in df.schema if is_date_type(f.dataType)}
-    aggregates = []
-    for i, f in enumerate(fields):
-        text = strip(quoted(f.name))
+    texts = text_columns(df)
+    cheap = []
+    for i, name in enumerate(texts):
+        text = strip(quoted(name))
         filled = text != ""
-        aggregates += [
+        cheap += [
             F.count_if(filled).alias(f"n{i}"),
-            F.avg(F.when(filled, F.translate(text, ",", ".").try_cast("double").isNotNull().cast("double"))).alias(f"num{i}"),
-            F.avg(F.when(filled, text.rlike(TYPING_DATE_SHAPE).cast("double"))).alias(f"shape{i}"),
-            F.avg(F.when(filled, parse_local_date(text).isNotNull().cast("double"))).alias(f"date{i}"),
+            F.count_if(text.rlike(PLAIN_NUMBER)).alias(f"num{i}"),
+            F.count_if(text.rlike(TYPING_DATE_SHAPE)).alias(f"shape{i}"),
         ]
-    if fields:
-        seen = df.agg(*aggregates).first()
-        for i, f in enumerate(fields):
-            hint = roles.has_date_hint(f.name)
-            if seen[f"n{i}"] < 3 or seen[f"num{i}"] >= 0.8 or (not hint and seen[f"shape{i}"] < 0.75):
-                continue
-            if seen[f"date{i}"] >= (0.75 if hint else 0.95):
-                typed.add(f.name)
+    seen = df.agg(*cheap).first() if cheap else None
+    likely = [
+        name for i, name in enumerate(texts)
+        if seen[f"n{i}"] >= 3 and seen[f"num{i}"] < 0.8 * seen[f"n{i}"]
+        and (roles.has_date_hint(name) or seen[f"shape{i}"] >= 0.75 * seen[f"n{i}"])
+    ]
+    # Only the columns that look like dates are parsed.
+    if likely:
+        parsed = df.agg(*[F.count(parse_local_date(quoted(c))).alias(f"d{i}") for i, c in enumerate(likely)]).first()
+        for i, name in enumerate(likely):
+            needed = 0.75 if roles.has_date_hint(name) else 0.95
+            if parsed[i] >= needed * seen[f"n{texts.index(name)}"]:
+                typed.add(name)
     return [c for c in df.columns if c in typed]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.functions import vocabulary as V
-from grainmill.functions.numbers import as_number, display_number, is_numeric_type, round_even
+from grainmill.functions.numbers import as_number, cast_number, display_number, is_numeric_type, round_even
 from grainmill.functions.text import normalize_name, normalize_text, strip
 from grainmill.operators.counting import column_medians, duplicate_rows
 from grainmill.operators.roles import pick, quoted
@@ -30,7 +30,7 @@ def _cell_number(df: DataFrame, name: str) -> Column:
     data_type = df.schema[name].dataType
     if data_type.typeName().startswith("decimal"):
         return quoted(name)
-    return as_number(quoted(name), data_type) if is_numeric_type(data_type) else quoted(name).try_cast("double")
+    return as_number(quoted(name), data_type) if is_numeric_type(data_type) else cast_number(strip(quoted(name).cast("string")))
 
 
 def direction_of(text: str) -> str:

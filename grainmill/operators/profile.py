@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainmill.functions import vocabulary as V
-from grainmill.functions.numbers import as_number, display_number, is_numeric_type, round_even
-from grainmill.functions.text import is_blank, is_sensitive_name, normalize_name
+from grainmill.functions.numbers import as_number, cast_number, display_number, round_even
+from grainmill.functions.text import is_blank, is_sensitive_name, normalize_name, strip
 from grainmill.operators.counting import column_medians, distinct_up_to, duplicate_rows
 from grainmill.operators.roles import kind, numeric_columns, quoted, snake, text_columns
 
@@ -144,14 +144,20 @@ def semantic_manifest(df: DataFrame) -> DataFrame:
 # -- privacy-safe summary ---------------------------------------------------------------------
 
 
+def _castable(df: DataFrame, name: str) -> Column:
+    """The column as double without locale parsing."""
+    data_type = df.schema[name].dataType
+    text = isinstance(data_type, T.StringType)
+    return cast_number(strip(quoted(name))) if text else as_number(quoted(name), data_type)
+
+
 def numeric_summary(df: DataFrame, max_columns: int = 60) -> DataFrame:
     """Statistics of the columns that are numeric for at least 80 % of rows (3 at least).
 
     The sample standard deviation and the median are exact; medians come from column_medians().
     """
     fields = [f for f in df.schema.fields[:max_columns] if kind(f.dataType) != "date"]
-    values = {f"v{i}": as_number(quoted(f.name), f.dataType).try_cast("double") if is_numeric_type(f.dataType)
-              else quoted(f.name).try_cast("double") for i, f in enumerate(fields)}
+    values = {f"v{i}": _castable(df, f.name) for i, f in enumerate(fields)}
     rows = df.select(*[v.alias(k) for k, v in values.items()])
     counts = rows.agg(F.count("*").alias("rows"), *[F.count(k).alias(k) for k in values]).first()
     enough = max(3, int(counts["rows"] * 0.8))
@@ -234,11 +240,10 @@ def missing_ranking(df: DataFrame, top: int = 5) -> DataFrame:
 
 def table_summary(df: DataFrame, exact: bool = True) -> DataFrame:
     """Score, missing cells and duplicates, two numeric columns, the top value of one text column."""
-    profile = table_profile(df, exact).select(F.inline(F.array(
-        F.struct(F.lit("table").alias("item"), F.lit("quality_score").alias("measure"), F.col("quality_score").cast("string").alias("value")),
-        F.struct(F.lit("table"), F.lit("missing_or_blank"), (F.col("missing") + F.col("blank")).cast("string")),
-        F.struct(F.lit("table"), F.lit("duplicates"), F.col("duplicates").cast("string")),
-    )))
+    facts = {"quality_score": F.col("quality_score"), "missing_or_blank": F.col("missing") + F.col("blank"), "duplicates": F.col("duplicates")}
+    profile = table_profile(df, exact).select(F.inline(F.array(*[
+        F.struct(F.lit("table").alias("item"), F.lit(m).alias("measure"), v.cast("string").alias("value")) for m, v in facts.items()
+    ])))
     text = lambda c: F.format_string("%.2f", display_number(c))
     parts = []
     for name in numeric_columns(df)[:2]:
@@ -263,13 +268,9 @@ def structural_problems(df: DataFrame, exact: bool = True) -> DataFrame:
     counts = _column_counts(df, exact)
     n = len(df.columns)
     empty = sum((F.col(f"m{i}") + F.col(f"b{i}") for i in range(n)), F.lit(0).cast("bigint"))
-    cells = [
-        F.struct(F.lit("empty_cells").alias("problem"), F.lit("").alias("column_name"), empty.alias("count")),
-        F.struct(F.lit("duplicate_rows"), F.lit(""), duplicate_rows(df)),
-    ]
-    cells += [
-        F.struct(F.lit("constant_column"), F.lit(c), (F.col(f"u{i}") <= 1).cast("bigint")) for i, c in enumerate(df.columns)
-    ]
+    problems = [("empty_cells", "", empty), ("duplicate_rows", "", duplicate_rows(df))]
+    problems += [("constant_column", c, (F.col(f"u{i}") <= 1).cast("bigint")) for i, c in enumerate(df.columns)]
+    cells = [F.struct(F.lit(p).alias("problem"), F.lit(c).alias("column_name"), n.alias("count")) for p, c, n in problems]
     return counts.select(F.inline(F.array(*cells))).where("count > 0")
 
 
@@ -286,8 +287,7 @@ def distinct_entities(df: DataFrame, column: str, exact: bool = True) -> DataFra
 
 def scalar_answer(df: DataFrame, column: str) -> DataFrame:
     """Mean, sum, max and min over the cells that cast to a number, with their count."""
-    data_type = df.schema[column].dataType
-    c = quoted(column).cast("double") if is_numeric_type(data_type) else quoted(column).try_cast("double")
+    c = _castable(df, column)
     return df.agg(
         F.count(c).alias("used_values"),
         display_number(F.avg(c)).alias("mean"),
