@@ -108,6 +108,10 @@ def chart_options(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(found, "name string, kind string, is_measure boolean")
 
 
+def _two_decimals(name: str) -> Column:
+    return F.format_string("%.2f", display_number(F.col(name)))
+
+
 def _dominant_share(df: DataFrame, value: Column) -> float:
     values = df.select(value.alias("v")).where("v is not null")
     counts = values.groupBy("v").count()
@@ -209,9 +213,9 @@ def dashboard(df: DataFrame, max_charts: int = 6) -> DataFrame:
         if few.get(name, 16) <= 1:
             continue
         if few.get(name, 16) <= 15 or _dominant_share(df, quoted(name)) >= 0.50:
-            add(f"values:{name}", discrete_frequency(df, name), F.format_string("%.2f", F.col("value")), "rows", F.col("value"))
+            add(f"values:{name}", discrete_frequency(df, name), _two_decimals("value"), "rows", F.col("value"))
         else:
-            add(f"histogram:{name}", histogram(df, name), F.concat(F.format_string("%.2f", "low"), F.lit("–"), F.format_string("%.2f", "high")), "rows", F.col("bin"))
+            add(f"histogram:{name}", histogram(df, name), F.concat(_two_decimals("low"), F.lit("–"), _two_decimals("high")), "rows", F.col("bin"))
     categories = [f.name for f in df.schema if kind(f.dataType) in ("texte", "booléen") and f.name not in dates[:1]]
     small = distinct_up_to(df, categories, 50)
     for name in categories:

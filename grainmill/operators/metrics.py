@@ -97,7 +97,7 @@ def kpis(df: DataFrame, specs: Sequence[dict]) -> DataFrame:
         display_number(value - target).alias("difference_from_target"),
         F.when(target.isNotNull(), display_number(gap)).alias("gap_to_target"),
         achieved.alias("achievement_percent"),
-        F.least(F.greatest(achieved, F.lit(0.0)), F.lit(100.0)).alias("progress"),
+        F.when(achieved.isNotNull(), F.least(F.greatest(achieved, F.lit(0.0)), F.lit(100.0))).alias("progress"),
         "usable_values",
     )
 
@@ -133,7 +133,7 @@ def explain_spike(
         F.sum(F.when(F.col("grp") != focus_cell["grp"], F.col("value")).otherwise(0.0)).alias("elsewhere"),
     )
     usual = F.col("elsewhere") / others
-    parts = by_category.where(others >= 1).select("category", "value", usual.alias("usual"), (F.col("value") - usual).alias("difference"))
+    parts = by_category.where((others >= 1) & focus_cell.isNotNull()).select("category", "value", usual.alias("usual"), (F.col("value") - usual).alias("difference"))
     parts = parts.orderBy(F.desc("difference"), "category").limit(top)
     total, base = display_number(focus_cell["total"]), display_number(usual_total)
     return parts.select(

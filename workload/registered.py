@@ -1,3 +1,3 @@
 """Import every query module so that its queries are registered."""
 
-from workload import texts  # noqa: F401
+from workload import cleaning, gold, profiles, texts  # noqa: F401
