@@ -29,11 +29,12 @@ def edit_filter(source: Column, candidate: Column, min_ratio: float) -> Column:
     The unmatched characters number at least the edit distance, so the distance cannot
     exceed (1 - min_ratio) * total length.
     """
+    return F.levenshtein(source, candidate) <= _budget(source, candidate, min_ratio)
+
+
+def _budget(source: Column, candidate: Column, min_ratio: float) -> Column:
     slack = round((1 - min_ratio) * 100)
-    budget = F.floor((F.length(source) + F.length(candidate)) * slack / 100).cast("int")
-    longest = F.greatest(F.length(source), F.length(candidate))
-    shortest = F.least(F.length(source), F.length(candidate))
-    return (longest - shortest <= budget) & (F.levenshtein(source, candidate) <= budget)
+    return F.floor((F.length(source) + F.length(candidate)) * slack / 100).cast("int")
 
 
 def _numbered_pairs(key: Column) -> Column:
@@ -61,6 +62,9 @@ def similar_pairs(sources: DataFrame, candidates: DataFrame, min_ratio: float) -
     right = candidates.select("key", F.explode(_numbered_pairs(F.col("key"))).alias("pair"))
     counts = left.select("pair").unionAll(right.select("pair")).groupBy("pair").agg(F.count("*").alias("uses"))
 
+    # A fixed partition count: these rows are few bytes but much work, and would be coalesced.
+    partitions = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def signatures(pairs: DataFrame, name: str) -> DataFrame:
         ordered = pairs.join(counts, "pair").groupBy("key").agg(
             F.array_sort(F.collect_list(F.struct("uses", "pair"))).alias("pairs")
@@ -69,17 +73,20 @@ def similar_pairs(sources: DataFrame, candidates: DataFrame, min_ratio: float) -
         partner = F.ceil(size * F.lit(shortest_partner) - F.lit(1e-9))
         shared = F.greatest(F.lit(1), F.ceil((size + partner) * F.lit(gain) - F.lit(1 + 1e-9)))
         keep = F.greatest(F.lit(1), F.size("pairs") - shared + 1).cast("int")
-        return ordered.select(
-            F.col("key").alias(name), F.explode(F.slice("pairs", F.lit(1), keep)["pair"]).alias("pair")
-        )
+        prefix = F.slice("pairs", F.lit(1), keep)["pair"]
+        rows = ordered.select(F.col("key").alias(name), prefix.alias(f"{name}_prefix"))
+        return rows.withColumn("pair", F.explode(f"{name}_prefix")).repartition(partitions, "pair")
 
+    source, candidate = F.col("source_key"), F.col("candidate_key")
+    # Two keys meet once per common pair; only the meeting on the first common one counts.
+    first_common = F.get(F.array_intersect("source_key_prefix", "candidate_key_prefix"), F.lit(0))
     found = (
         signatures(left, "source_key")
         .join(signatures(right, "candidate_key"), "pair")
-        .where(F.col("source_key") != F.col("candidate_key"))
-        .where(edit_filter(F.col("source_key"), F.col("candidate_key"), min_ratio))
+        .where((source != candidate) & (F.abs(F.length(source) - F.length(candidate)) <= _budget(source, candidate, min_ratio)))
+        .where(F.col("pair") == first_common)
+        .where(edit_filter(source, candidate, min_ratio))
         .select("source_key", "candidate_key")
-        .distinct()
     )
     ratio = similarity_ratio(F.col("source_key"), F.col("candidate_key"))
     return found.withColumn("ratio", ratio).where(F.col("ratio") >= F.lit(min_ratio))

@@ -13,7 +13,7 @@ from grainmill.functions.numbers import is_numeric_type, parse_local_number
 from grainmill.functions.text import PLAIN_NUMBER, blank_to_null, normalize_name, strip
 from grainmill.operators import roles
 from grainmill.operators.counting import column_medians, column_modes, duplicate_rows
-from grainmill.operators.harmonise import affected_rows, harmonisation_map, harmonise
+from grainmill.operators.harmonise import affected_rows, cell_counts, harmonisation_map, harmonise
 from grainmill.operators.roles import quoted, sales_roles, text_columns
 from grainmill.operators.sales import repair_sales, sales_issue
 from grainmill.plans.checkpoints import saved
@@ -84,7 +84,8 @@ def suggest_cleaning(df: DataFrame, harmonised: bool = True) -> DataFrame:
     suggest("strip_text", total("trim"), total("trim") > 0, "fort")
     for name in text_columns(df) if harmonised else []:
         if roles.label_role(name):
-            rows = affected_rows(df, name, saved(harmonisation_map(df, name)))
+            cells = cell_counts(df, name)
+            rows = F.lit(affected_rows(cells, harmonisation_map(df, name, cells=cells)))
             suggest(f"harmonize_values::{name}", rows, rows > 0, "fort")
     suggest("repair_sales_metrics", F.col("sales_issues"), F.col("sales_issues") > 0, "fort")
     for field in df.schema:

@@ -20,14 +20,19 @@ VARIANT_RATIO = 0.88
 MAP_SCHEMA = "source string, target string, reason string, rows bigint"
 
 
-def label_counts(df: DataFrame, column: str) -> DataFrame:
+def cell_counts(df: DataFrame, column: str) -> DataFrame:
+    """Distinct cells as they are: cell, n. The only pass over the rows; saved for what follows."""
+    return saved(df.groupBy(quoted(column).cast("string").alias("cell")).agg(F.count("*").alias("n")))
+
+
+def label_counts(cells: DataFrame) -> DataFrame:
     """Distinct trimmed labels: value, n, key (normalised spelling)."""
-    counts = df.groupBy(text_or_null(quoted(column)).alias("value")).agg(F.count("*").alias("n"))
+    counts = cells.groupBy(text_or_null(F.col("cell")).alias("value")).agg(F.sum("n").alias("n"))
     return counts.where(F.col("value").isNotNull()).withColumn("key", normalize_text(F.col("value")))
 
 
 def harmonisation_map(
-    df: DataFrame, column: str, role: str | None = None, counts: DataFrame | None = None
+    df: DataFrame, column: str, role: str | None = None, cells: DataFrame | None = None
 ) -> DataFrame:
     """source, target, reason and rows for each label to rewrite.
 
@@ -40,7 +45,7 @@ def harmonisation_map(
         return df.sparkSession.createDataFrame([], MAP_SCHEMA)
     known = V.KNOWN_LABELS[role]
     protected = sorted(set(known.values()))
-    labels = saved(label_counts(df, column)) if counts is None else counts
+    labels = label_counts(cells if cells is not None else cell_counts(df, column))
     leaders = labels.groupBy("key").agg(
         F.min_by(F.struct("value", "n"), F.struct(-F.col("n"), "value")).alias("leader")
     )
@@ -94,17 +99,16 @@ def harmonise(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     return joined.select(*[fixed.alias(c) if c == column else quoted(c) for c in df.columns])
 
 
-def affected_rows(df: DataFrame, column: str, mapping: DataFrame) -> Column:
-    """Rows whose exact cell is a label to rewrite, as a scalar subquery."""
-    cells = df.groupBy(quoted(column).alias("value")).agg(F.count("*").alias("n"))
-    hit = cells.join(mapping.select(F.col("source").alias("value")), "value", "left_semi")
-    return hit.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).scalar()
+def affected_rows(cells: DataFrame, mapping: DataFrame) -> int:
+    """Rows whose exact cell is a label to rewrite."""
+    hit = cells.join(mapping.select(F.col("source").alias("cell")), "cell", "left_semi")
+    return hit.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 # -- variants (a check, not a fix) -----------------------------------------------------------------
 
 
-def variant_map(df: DataFrame, column: str, counts: DataFrame | None = None) -> DataFrame:
+def variant_map(df: DataFrame, column: str, cells: DataFrame | None = None) -> DataFrame:
     """Labels that are a variant of a more frequent one: source, target, rows.
 
     Labels are visited from frequent to rare. The first of its normalised spelling becomes
@@ -112,7 +116,7 @@ def variant_map(df: DataFrame, column: str, counts: DataFrame | None = None) ->
     of the earliest such one. Being canonical depends on earlier decisions, so they are taken in
     rounds: a key with no undecided earlier neighbour is settled, until none is left.
     """
-    ranked = saved(label_counts(df, column)) if counts is None else counts
+    ranked = saved(label_counts(cells if cells is not None else cell_counts(df, column)))
     rank = F.struct(-F.col("n"), F.col("value"))
     heads = ranked.groupBy("key").agg(F.min(rank).alias("rank"), F.min_by("value", rank).alias("head"))
     near = similar_pairs(heads.where(F.length("key") >= 5).select("key"), heads.where(F.length("key") >= 2).select("key"), VARIANT_RATIO)
@@ -161,10 +165,10 @@ def variant_map(df: DataFrame, column: str, counts: DataFrame | None = None) ->
 
 def label_variants(df: DataFrame, column: str) -> DataFrame:
     """One row: variant_rows and up to three examples, from known labels first."""
-    counts = saved(label_counts(df, column))
-    found = saved(harmonisation_map(df, column, counts=counts).select("source", "target", "rows"))
+    cells = cell_counts(df, column)
+    found = saved(harmonisation_map(df, column, cells=cells).select("source", "target", "rows"))
     if found.isEmpty():
-        found = saved(variant_map(df, column, counts))
+        found = saved(variant_map(df, column, cells))
     shown = found.orderBy(F.desc("rows"), "source").limit(3)
     examples = shown.agg(
         F.array_join(

@@ -190,7 +190,7 @@ SOLD = """sold as (select order_id, k, status as statut,
   case when k % 31 = 0 then '5%' when k % 37 = 0 then '99999999' else cast(discount as varchar) end as remise,
   case when k % 41 = 0 then 'Gratuit' else '20' end as frais_livraison, case when k % 43 = 0 then '-1' else '15' end as cout_livraison,
   case when k % 47 = 0 then amount + 100 else amount end::decimal(18,2) as total_brut, (amount - discount + 20)::decimal(18,2) as chiffre_affaires_net,
-  (amount / 4)::decimal(18,2) as marge_brute, case when k % 53 = 0 then 9 when k % 59 = 0 then null else rating end as note from sales)"""
+  (quantity * 7)::decimal(18,2) as marge_brute, case when k % 53 = 0 then 9 when k % 59 = 0 then null else rating end as note from sales)"""
 
 
 def sold(spark, sf_dir):
@@ -204,7 +204,7 @@ def sold(spark, sf_dir):
         when(k % 41 == 0, "Gratuit").otherwise("20").alias("frais_livraison"), when(k % 43 == 0, "-1").otherwise("15").alias("cout_livraison"),
         when(k % 47 == 0, F.col("amount") + 100).otherwise(F.col("amount")).cast("decimal(18,2)").alias("total_brut"),
         (F.col("amount") - F.col("discount") + 20).cast("decimal(18,2)").alias("chiffre_affaires_net"),
-        (F.col("amount") / 4).cast("decimal(18,2)").alias("marge_brute"),
+        (F.col("quantity") * 7).cast("decimal(18,2)").alias("marge_brute"),
         when(k % 53 == 0, 9).when(k % 59 == 0, None).otherwise(F.col("rating")).alias("note"),
     )
 
