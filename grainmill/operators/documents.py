@@ -219,7 +219,7 @@ def reading_lines(boxes: DataFrame) -> DataFrame:
     grouped = islands.groupBy("page_id", "island", "reach").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
 
     def step(state: Column, b: Column) -> Column:
-        joins = F.coalesce(F.abs(b["y"] - state["total"] / state["n"]) <= F.col("reach"), F.lit(False)) & (state["n"] > 0)
+        joins = F.coalesce(F.abs(b["y"] - F.try_divide(state["total"], state["n"])) <= F.col("reach"), F.lit(False))
         line = F.when(joins, state["line"]).otherwise(state["line"] + 1)
         return F.struct(
             line.alias("line"),

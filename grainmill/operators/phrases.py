@@ -48,18 +48,19 @@ def column_concepts(name: str, kind: str | None = None) -> set[str]:
     }
 
 
-def _column_match(words: Column, concepts: Mapping[str, Column], name: str, kind: str, aliases: Sequence[str]) -> Column:
-    """struct(confidence, matched_term) of one column for a text, NULL when it is not meant."""
-    shared = [concepts[c] for c in sorted(column_concepts(name, kind))]
-    finds = [F.when(has_phrase(words, name), F.struct(F.lit(1.0).alias("confidence"), F.lit(name).alias("matched_term")))]
-    custom = [F.when(has_phrase(words, a), F.lit(a)) for a in aliases if normalize_name(a)]
-    if custom:
-        term = F.coalesce(*custom)
-        finds.append(F.when(term.isNotNull(), F.struct(F.lit(0.95).alias("confidence"), term.alias("matched_term"))))
-    if shared:
-        term = F.coalesce(*shared)
-        finds.append(F.when(term.isNotNull(), F.struct(F.lit(0.85).alias("confidence"), term.alias("matched_term"))))
-    return F.coalesce(*finds)
+def _find(words: Column, confidence: float, term: str, grouping: bool) -> Column:
+    """struct(confidence, matched_term, grouped) when the term is in the text. Each term is a
+    constant here, so the test for "by <term>" is too."""
+    grouped = F.lit(False)
+    for marker in V.GROUPING_MARKERS if grouping else []:
+        grouped = grouped | has_phrase(words, f"{marker} {term}")
+    found = F.struct(F.lit(confidence).alias("confidence"), F.lit(term).alias("matched_term"), grouped.alias("grouped"))
+    return F.when(has_phrase(words, term), found)
+
+
+def _concept_find(words: Column, phrases: Iterable[str], grouping: bool) -> Column:
+    ordered = sorted(phrases, key=lambda p: -len(normalize_name(p).split()))
+    return F.coalesce(*[_find(words, 0.85, p, grouping) for p in ordered])
 
 
 def resolve_columns(
@@ -70,43 +71,35 @@ def resolve_columns(
 
     `catalogue` lists (column, kind). Its own name counts 1.0, an alias 0.95, a shared concept 0.85.
     """
-    return _resolved(df, keys, text, catalogue, aliases).select(*keys, F.posexplode("matches").alias("rank", "m")).select(
+    # The outer form keeps Spark from filtering texts below by repeating every phrase test.
+    found = _resolved(df, keys, text, catalogue, aliases).select(*keys, F.posexplode_outer("matches").alias("rank", "m"))
+    return found.where("m is not null").select(
         *keys, "m.column_name", "m.kind", "m.confidence", "m.matched_term", (F.col("rank") + 1).alias("rank")
     )
 
 
-def _resolved(df, keys, text, catalogue, aliases) -> DataFrame:
+def _resolved(df, keys, text, catalogue, aliases, grouping=False) -> DataFrame:
     """keys, _words and `matches` sorted by confidence then catalogue position."""
     by_name = {normalize_name(name): list(terms) for name, terms in (aliases or {}).items()}
     words = F.col("_words")
-    concepts = {name: F.col(f"_c_{name}") for name in V.BUSINESS_CONCEPTS}
+    needed = sorted({c for name, kind in catalogue for c in column_concepts(name, kind)})
     base = df.select(*[quoted(k) for k in keys], padded(quoted(text)).alias("_words"))
-    base = base.withColumns({f"_c_{name}": term for name, term in concept_columns(words).items()})
+    base = base.select("*", *[_concept_find(words, V.BUSINESS_CONCEPTS[c], grouping).alias(f"_c_{c}") for c in needed])
+    matches = []
+    for i, (name, kind) in enumerate(catalogue):
+        terms = [t for t in by_name.get(normalize_name(name), []) if normalize_name(t)]
+        finds = [_find(words, 1.0, name, grouping), *[_find(words, 0.95, t, grouping) for t in terms]]
+        finds += [F.col(f"_c_{c}") for c in sorted(column_concepts(name, kind))]
+        matches.append(F.coalesce(*finds).alias(f"_m_{i}"))
+    base = base.select(*keys, "_words", *matches)
     cells = []
-    for position, (name, kind) in enumerate(catalogue):
-        match = _column_match(words, concepts, name, kind, by_name.get(normalize_name(name), []))
-        cells.append(F.when(match.isNotNull(), F.struct(
-            (-match["confidence"]).alias("order"), F.lit(position).alias("position"), F.lit(name).alias("column_name"),
-            F.lit(kind).alias("kind"), match["confidence"].alias("confidence"), match["matched_term"].alias("matched_term"),
-            _grouped_by(words, match["matched_term"]).alias("grouped"),
+    for i, (name, kind) in enumerate(catalogue):
+        m = F.col(f"_m_{i}")
+        cells.append(F.when(m.isNotNull(), F.struct(
+            (-m["confidence"]).alias("order"), F.lit(i).alias("position"), F.lit(name).alias("column_name"), F.lit(kind).alias("kind"),
+            m["confidence"].alias("confidence"), m["matched_term"].alias("matched_term"), m["grouped"].alias("grouped"),
         )))
-    matches = F.array_sort(F.filter(F.array(*cells), lambda m: m.isNotNull()))
-    return base.select(*keys, "_words", matches.alias("matches"))
-
-
-def _grouped_by(words: Column, term: Column) -> Column:
-    """True when the text says "by <term>"."""
-    normal = F.create_map(*[F.lit(x) for p in _all_terms() for x in (p, normalize_name(p))])
-    spoken = F.coalesce(F.try_element_at(normal, term), F.lower(term))
-    tests = [F.contains(words, F.concat(F.lit(f" {normalize_name(m)} "), spoken, F.lit(" "))) for m in V.GROUPING_MARKERS]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
-    return out
-
-
-def _all_terms() -> list[str]:
-    return sorted({p for phrases in V.BUSINESS_CONCEPTS.values() for p in phrases})
+    return base.select(*keys, "_words", F.array_sort(F.array_compact(F.array(*cells))).alias("matches"))
 
 
 def _by_list(words: Column, groups: Mapping[str, Sequence[str]]) -> Column:
@@ -143,7 +136,7 @@ def chart_specs(
     first other number named.
     """
     kinds = dict(catalogue)
-    base = _resolved(df, keys, text, catalogue, aliases).where(F.size("matches") > 0)
+    base = _resolved(df, keys, text, catalogue, aliases, grouping=True)
     base = base.withColumns({"asked": asked_aggregation(F.col("_words")), "chart": asked_chart_type(F.col("_words"))})
 
     def first(test) -> Column:
@@ -174,10 +167,11 @@ def chart_specs(
     base = base.withColumns({"dimension": final, "no_measure": no_measure})
     chart = F.when(F.col("alone"), "bar").otherwise(F.col("chart"))
     chart = F.when((chart == "auto") & (F.try_element_at(kind_map, F.col("dimension")) == "date"), "line").otherwise(chart)
-    return base.select(
-        *keys, "dimension", F.when(~F.col("no_measure"), F.col("number")).alias("measure"),
+    spec = F.struct(
+        F.col("dimension"), F.when(~F.col("no_measure"), F.col("number")).alias("measure"),
         F.when(F.col("alone") | fallback, "count").otherwise(F.col("agg")).alias("aggregation"), chart.alias("chart_type"),
     )
+    return base.select(*keys, F.inline_outer(F.array(spec))).where("dimension is not null")
 
 
 def charts_for_texts(data: DataFrame, specs: DataFrame) -> DataFrame:
