@@ -1,3 +1,3 @@
 """Import every query module so that its queries are registered."""
 
-from workload import cleaning, documents, gold, profiles, relations, texts  # noqa: F401
+from workload import cleaning, documents, gold, layers, profiles, relations, texts  # noqa: F401

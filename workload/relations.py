@@ -23,9 +23,9 @@ def semi_join_count(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").join(large, "l_partkey", "left_semi").agg(F.count("*").alias("rows"))
 
 
-@query("jn4_anti_join", "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)")
+@query("jn4_anti_join", "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
 def anti_join(spark, sf_dir):
-    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
     return customers.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
@@ -95,7 +95,7 @@ _family("sql4_semi_anti_join", """
 select c_mktsegment, count(*) as customers from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 100000)
 and not exists (select 1 from supplier where s_nationkey = c_nationkey and s_acctbal > 9900) group by c_mktsegment""")
 _family("sql4_full_join", """
-select coalesce(a.r, b.r) as regionkey, a.n as nations, b.n as names from (select n_regionkey r, count(*) n from nation where n_nationkey < 12 group by n_regionkey) a
+select coalesce(a.r, b.r) as regionkey, coalesce(a.n, 0) as nations, coalesce(b.n, 0) as names from (select n_regionkey r, count(*) n from nation where n_nationkey < 12 group by n_regionkey) a
 full join (select r_regionkey r, count(*) n from region where r_regionkey > 1 group by r_regionkey) b on a.r = b.r""")
 _family("sql4_range_join", """
 select a.p_brand, count(*) as pairs from (select distinct p_brand, p_size from part) a join (select distinct p_size lo, p_size + 2 hi from part where p_size > 45) b
@@ -123,7 +123,7 @@ _family("sql4_top_with_ties", """
 select * from (select p_partkey, p_size, rank() over (order by p_size desc) as r from part) t where r <= 10""")
 _family("sql4_scalar_functions", """
 select o_orderkey, upper(o_orderpriority) as u, substring(o_orderpriority, 1, 3) as s, length(o_orderstatus) as l, year(o_orderdate) as y, month(o_orderdate) as m,
-date_trunc('month', o_orderdate) as first_day, floor(o_totalprice / 1000) as k, abs(o_custkey - 500) as d, coalesce(nullif(o_orderstatus, 'F'), 'none') as st from orders""")
+date_trunc('month', o_orderdate) as first_day, cast(floor(o_totalprice / 1000) as bigint) as k, abs(o_custkey - 500) as d, coalesce(nullif(o_orderstatus, 'F'), 'none') as st from orders""")
 
 
 @query("sql3_example_queries", on_sales("""
