@@ -84,8 +84,8 @@ def suggest_cleaning(df: DataFrame, harmonised: bool = True) -> DataFrame:
     suggest("strip_text", total("trim"), total("trim") > 0, "fort")
     for name in text_columns(df) if harmonised else []:
         if roles.label_role(name):
-            cells = cell_counts(df, name)
-            rows = F.lit(affected_rows(cells, harmonisation_map(df, name, cells=cells)))
+            counts = cell_counts(df, name)
+            rows = F.lit(affected_rows(counts, harmonisation_map(df, name, cells=counts)))
             suggest(f"harmonize_values::{name}", rows, rows > 0, "fort")
     suggest("repair_sales_metrics", F.col("sales_issues"), F.col("sales_issues") > 0, "fort")
     for field in df.schema:
