@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.operators.roles import quoted
+from grainmill.plans.checkpoints import saved
 
 # A median aggregate keeps one counter per distinct value; above this many it is narrowed first.
 MEDIAN_VALUES_PER_GROUP = 200_000
@@ -99,12 +100,14 @@ def _median_by_narrowing(rows: DataFrame, names: list[str]) -> DataFrame:
         at = lambda rank: (rank - F.col("below")) * 1000 / F.col("m")
         first = F.when(F.col("m") < 10_000, 0).otherwise(F.greatest(F.floor(at(low)) - 1, F.lit(0)))
         last = F.when(F.col("m") < 10_000, 1000).otherwise(F.least(F.ceil(at(high)) + 1, F.lit(1000)))
-        bracket = _with_state(state, sketch, names).select(
+        # One row per group: saved, so that each round starts from a result and not from the
+        # doubled lineage of the rounds before.
+        bracket = saved(_with_state(state, sketch, names).select(
             *names, "n", "below", F.get("q", first.cast("int")).alias("lo"), F.get("q", last.cast("int")).alias("hi")
-        )
+        ))
         joined = _with_state(rows, bracket, names)
         state = joined.groupBy(*names, "n", "below").agg(F.count_if(F.col("value") < F.col("lo")).alias("cut"))
-        state = state.select(*names, "n", (F.col("below") + F.col("cut")).alias("below"))
+        state = saved(state.select(*names, "n", (F.col("below") + F.col("cut")).alias("below")))
         rows = joined.where(F.col("value").between(F.col("lo"), F.col("hi"))).select(*names, "value")
         if _widest(rows, names) <= MEDIAN_VALUES_PER_GROUP:
             break

@@ -71,7 +71,7 @@ def test_console_gate(spark):
 
 
 def test_medians_by_narrowing_equal_plain_medians(spark, monkeypatch):
-    monkeypatch.setattr(counting, "MEDIAN_VALUES_PER_GROUP", 50)
+    monkeypatch.setattr(counting, "MEDIAN_VALUES_PER_GROUP", 5000)
     df = spark.range(60_000).select((F.col("id") % 3).alias("g"), (F.rand(7) * 1000).alias("v")).withColumn("g", F.when(F.col("g") < 2, F.col("g")))
     df = df.checkpoint()
     got = {r["g"]: r["median"] for r in counting.grouped_median(df, [F.col("g")], F.col("v"), ["g"]).collect()}
