@@ -109,8 +109,10 @@ _family("sql4_cube", "select o_orderstatus, o_orderpriority, count(*) as n from
 _family("sql4_grouping_sets", """
 select o_orderstatus, o_orderpriority, count(*) as n, cast(grouping(o_orderstatus) as int) as g from orders group by grouping sets ((o_orderstatus), (o_orderpriority), ())""")
 _family("sql4_window_ranking", """
-select c_custkey, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as rn, rank() over (partition by c_nationkey order by floor(c_acctbal / 1000)) as rk,
-dense_rank() over (partition by c_nationkey order by floor(c_acctbal / 1000)) as dr, ntile(4) over (partition by c_nationkey order by c_acctbal, c_custkey) as quarter from customer""")
+select c_custkey, cast(row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as bigint) as rn,
+cast(rank() over (partition by c_nationkey order by floor(c_acctbal / 1000)) as bigint) as rk,
+cast(dense_rank() over (partition by c_nationkey order by floor(c_acctbal / 1000)) as bigint) as dr,
+cast(ntile(4) over (partition by c_nationkey order by c_acctbal, c_custkey) as bigint) as quarter from customer""")
 _family("sql4_window_frames", """
 select o_orderkey, lag(o_totalprice) over (partition by o_custkey order by o_orderkey) as before, lead(o_totalprice) over (partition by o_custkey order by o_orderkey) as after,
 count(*) over (partition by o_custkey order by o_orderkey rows between 2 preceding and current row) as moving,
@@ -120,9 +122,9 @@ select c_custkey, (select max(o_totalprice) from orders where o_custkey = c_cust
 where c_acctbal > (select avg(s_acctbal) from supplier)""")
 _family("sql4_distinct", "select o_orderpriority, count(distinct o_custkey) as customers, count(distinct o_orderstatus) as states from orders group by o_orderpriority")
 _family("sql4_top_with_ties", """
-select * from (select p_partkey, p_size, rank() over (order by p_size desc) as r from part) t where r <= 10""")
+select * from (select p_partkey, p_size, cast(rank() over (order by p_size desc) as bigint) as r from part) t where r <= 10""")
 _family("sql4_scalar_functions", """
-select o_orderkey, upper(o_orderpriority) as u, substring(o_orderpriority, 1, 3) as s, length(o_orderstatus) as l, year(o_orderdate) as y, month(o_orderdate) as m,
+select o_orderkey, upper(o_orderpriority) as u, substring(o_orderpriority, 1, 3) as s, cast(length(o_orderstatus) as bigint) as l, cast(year(o_orderdate) as bigint) as y, cast(month(o_orderdate) as bigint) as m,
 date_trunc('month', o_orderdate) as first_day, cast(floor(o_totalprice / 1000) as bigint) as k, abs(o_custkey - 500) as d, coalesce(nullif(o_orderstatus, 'F'), 'none') as st from orders""")
 
 

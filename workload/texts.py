@@ -24,7 +24,7 @@ select doc_id, length({sql_normal('text')}) as chars, md5({sql_normal('text')})
 """)
 def normalize_documents(spark, sf_dir):
     df = table(spark, sf_dir, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("n"))
-    return df.select("doc_id", F.length("n").alias("chars"), F.md5("n").alias("digest"))
+    return df.select("doc_id", F.length("n").cast("bigint").alias("chars"), F.md5("n").alias("digest"))
 
 
 @query("str2_trim_or_null", on_messy("""
@@ -109,7 +109,7 @@ select p_partkey, len(parts) as pieces, array_to_string(parts, '|') as joined fr
 """)
 def split_identifier(spark, sf_dir):
     df = table(spark, sf_dir, "part").withColumn("parts", text.split_identifier(F.concat(F.lit("p"), "p_name", "p_brand", F.lit("_"), "p_type")))
-    return df.select("p_partkey", F.size("parts").alias("pieces"), F.array_join("parts", "|").alias("joined"))
+    return df.select("p_partkey", F.size("parts").cast("bigint").alias("pieces"), F.array_join("parts", "|").alias("joined"))
 
 
 @query("str11_clean_label", """
