@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Up to this many candidates are listed in the plan instead of joined.
+FEW_CANDIDATES = 100
+
+
 def _ratio_function():
     def ratio(source: pd.Series, candidate: pd.Series) -> pd.Series:
         return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(source, candidate)], dtype="float64")
@@ -54,6 +58,14 @@ def similar_pairs(sources: DataFrame, candidates: DataFrame, min_ratio: float) -
     must share one within a computable prefix. Joining on that prefix finds every pair of keys
     without comparing all with all.
     """
+    few = [row["key"] for row in candidates.select("key").limit(FEW_CANDIDATES + 1).collect()]
+    if 0 < len(few) <= FEW_CANDIDATES:
+        # Counted and few: each source is compared with this short list in place, without a shuffle.
+        listed = sources.select(F.col("key").alias("source_key"), F.explode(F.array(*map(F.lit, few))).alias("candidate_key"))
+        pair = F.col("source_key"), F.col("candidate_key")
+        near = listed.where((pair[0] != pair[1]) & edit_filter(*pair, min_ratio))
+        return near.withColumn("ratio", similarity_ratio(*pair)).where(F.col("ratio") >= F.lit(min_ratio))
+
     # With M matched characters, two keys share at least 3M - a - b - 1 adjacent pairs.
     gain = 1.5 * min_ratio - 1
     shortest_partner = min_ratio / (2 - min_ratio)

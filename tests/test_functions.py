@@ -54,8 +54,9 @@ def test_transliteration(spark):
     assert apply(spark, ["warehouse", "bin"], text.latin_to_arabic) == ["واريهوس", "بين"]
 
 
-@pytest.mark.parametrize("ratio", [0.86, 0.88])
-def test_similar_pairs_finds_exactly_the_pairs_of_brute_force(spark, ratio):
+@pytest.mark.parametrize("ratio, few", [(0.86, 0), (0.88, 0), (0.86, 10_000)])
+def test_similar_pairs_finds_exactly_the_pairs_of_brute_force(spark, monkeypatch, ratio, few):
+    monkeypatch.setattr(similarity, "FEW_CANDIDATES", few)
     base = ["casablanca", "marrakech", "essaouira", "tanger ville", "rabat"]
     keys = sorted({b[:i] + x + b[i + j:] for b in base for i in range(0, len(b), 2) for j in (0, 1) for x in ("", "e", "zz")})
     keys = [k for k in keys if len(k) >= 4]
