@@ -11,6 +11,7 @@ from grainmill.llm.common import read, stored
 from grainmill.llm.decontaminate import decontaminate
 from grainmill.llm.line_dedup import line_dedup
 from grainmill.llm.packing import pack
+from grainmill.llm.quality import quality_rules
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -20,6 +21,19 @@ def _settings(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    _settings(spark)
+    return quality_rules(docs, carry=("text", "lang", "source", "n_chars")).where("kept").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that a document with a smaller doc_id also has go; n_chars is the new length."""
+    _settings(spark)
+    kept = line_dedup(docs, carry=("lang", "source")).withColumnRenamed("kept_text", "text")
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage go."""
     _settings(spark)
@@ -34,6 +48,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality),
+    ("line dedup", lines),
     ("decontamination", decontamination),
     ("packing", packing),
 ]

@@ -11,6 +11,7 @@ from grainmill.llm.common import read
 from grainmill.llm.decontaminate import decontaminate
 from grainmill.llm.line_dedup import line_dedup
 from grainmill.llm.packing import pack
+from grainmill.llm.quality import quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,6 +55,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("hit_spans")
 
 
+@query("op5_quality_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op9_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents", "doc_id", "text"), room=1024)
