@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from grainmill.llm.common import read
 from grainmill.llm.decontaminate import decontaminate
 from grainmill.llm.line_dedup import line_dedup
+from grainmill.llm.main_text import extract
 from grainmill.llm.packing import pack
 from grainmill.llm.quality import quality_rules
+from grainmill.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +39,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+@query("op1_main_text")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages", "page_id", "url", "html")).drop("n_blocks")
+
+
 _OP4_SQL = rf"""
 with b as (select item_id, regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
 bw as (select distinct item_id, least(10, len(w)) n, array_to_string(w[i:i + 9], ' ') win from b, unnest(range(1, greatest(1, len(w) - 9) + 1)) t(i) where len(w) > 0),
@@ -61,6 +68,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 @query("op9_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents", "doc_id", "text"), room=1024)
