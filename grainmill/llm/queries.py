@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from grainmill.llm.common import read
 from grainmill.llm.decontaminate import decontaminate
+from grainmill.llm.licenses import license_scan
 from grainmill.llm.line_dedup import line_dedup
 from grainmill.llm.main_text import extract
 from grainmill.llm.packing import pack
@@ -73,6 +74,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+@query("op7_licenses")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.withColumn("notice_ids", F.concat_ws(",", "notice_ids"))
+
+
 @query("op9_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents", "doc_id", "text"), room=1024)
