@@ -12,6 +12,7 @@ from grainmill.llm.decontaminate import decontaminate
 from grainmill.llm.licenses import license_scan
 from grainmill.llm.line_dedup import line_dedup
 from grainmill.llm.main_text import extract
+from grainmill.llm.near_dedup import near_dedup
 from grainmill.llm.packing import pack
 from grainmill.llm.quality import quality_rules
 from grainmill.llm.toxicity import toxicity
@@ -38,6 +39,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op2_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(read(spark, sf_dir, "documents", "doc_id", "text"), size=2, percent=80)
+
+
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 @query("op1_main_text")
