@@ -15,6 +15,7 @@ from grainmill.llm.main_text import extract
 from grainmill.llm.near_dedup import near_dedup
 from grainmill.llm.packing import pack
 from grainmill.llm.quality import quality_rules
+from grainmill.llm.substring_dedup import substring_dedup
 from grainmill.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +45,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read(spark, sf_dir, "documents", "doc_id", "text"), size=2, percent=80)
 
 
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(read(spark, sf_dir, "documents", "doc_id", "text"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 @query("op1_main_text")
