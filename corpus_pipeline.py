@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from grainmill.llm.common import read, stored
 from grainmill.llm.decontaminate import decontaminate
 from grainmill.llm.line_dedup import line_dedup
+from grainmill.llm.near_dedup import near_dedup
 from grainmill.llm.packing import pack
 from grainmill.llm.quality import quality_rules
 
@@ -34,6 +35,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates (five-word shingles, similarity of 0.8 or more) the document with the smallest
+    doc_id stays; of rows that repeat a doc_id, one."""
+    _settings(spark)
+    kept = near_dedup(docs, size=5, percent=80).where("kept").select("doc_id").distinct()
+    one = docs.select(*COLUMNS).dropDuplicates(["doc_id"])
+    return one.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))).select(*(F.col(f"d.{c}") for c in COLUMNS))
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage go."""
     _settings(spark)
@@ -50,6 +60,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality),
     ("line dedup", lines),
+    ("near-dedup", near_duplicates),
     ("decontamination", decontamination),
     ("packing", packing),
 ]

@@ -16,6 +16,7 @@ from grainmill.llm.near_dedup import near_dedup
 from grainmill.llm.packing import pack
 from grainmill.llm.quality import quality_rules
 from grainmill.llm.substring_dedup import substring_dedup
+from grainmill.llm.token_files import token_files
 from grainmill.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +94,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("notice_ids", F.concat_ws(",", "notice_ids"))
 
 
+@query("op8_token_files")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query("op9_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents", "doc_id", "text"), room=1024)
