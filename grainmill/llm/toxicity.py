@@ -37,7 +37,7 @@ def features(text: str | None) -> np.ndarray:
         rolled ^= rolled >> np.uint64(31)
         if k + 1 in SIZES:
             found.append((rolled * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
-    buckets = np.sort(np.concatenate(found))
+    buckets = np.sort(np.concatenate([np.zeros(0, dtype=np.int32), *found]))
     return buckets[np.concatenate([[True], buckets[1:] != buckets[:-1]])] if len(buckets) else buckets
 
 
@@ -69,9 +69,8 @@ def fit(rows: list[tuple[np.ndarray, int]], ratio: np.ndarray, prior: float, rou
     """Weights of the buckets, already times their ratio, and last the bias. Logistic loss, Adam over all rows; the
     classes weigh as much as in the labels (`prior`: share of toxic rows there)."""
     labels = np.array([y for _, y in rows], dtype=float)
-    useful = [x[ratio[x] != 0] for x, _ in rows]
-    flat = np.concatenate(useful)
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in useful])
+    flat = np.concatenate([x for x, _ in rows])
+    row = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
     value = ratio[flat]
     weight = np.where(labels == 1, prior / max(labels.sum(), 1), (1 - prior) / max((1 - labels).sum(), 1))
     w, bias = np.zeros(len(ratio)), math.log(prior / (1 - prior))
@@ -107,7 +106,16 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> np.nd
     # At most 2 * fit_rows ids and texts: the only rows that come to the driver.
     chosen = [marks.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for c in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id")
-    made = by_row(sample, ["text"], ["doc_id", "toxic"], "x binary", lambda: lambda text: (features(text).tobytes(),))
+    useful = docs.sparkSession.sparkContext.broadcast(ratio != 0)
+
+    def start():
+        def one(text: str | None) -> tuple:
+            x = features(text)
+            return (x[useful.value[x]].tobytes(),)
+
+        return one
+
+    made = by_row(sample, ["text"], ["doc_id", "toxic"], "x binary", start)
     rows = [(np.frombuffer(r["x"], dtype=np.int32), r["toxic"]) for r in made.orderBy("doc_id").collect()]
     if len({y for _, y in rows}) < 2:
         return np.append(np.zeros(len(ratio)), math.log(toxic / clean))
