@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
 
 from grainmill.llm.common import travels
@@ -27,7 +28,6 @@ def id_bytes(path: str) -> Callable[[str | None], bytes]:
     Neither tokenizer here lets a token cross the place before a single blank or around a single line break, so
     such texts are encoded in these parts, each distinct part once. All other texts are encoded whole.
     """
-    import numpy as np
     import tokenizers
 
     # A worker process serves many tasks; what one of them has encoded is kept where the next can find it.
@@ -35,18 +35,12 @@ def id_bytes(path: str) -> Callable[[str | None], bytes]:
     if path not in kept:
         tokenizer = tokenizers.Tokenizer.from_file(path)
 
-        def whole(text: str) -> bytes:
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        # Arrays of C integers are in the machine's order; on all machines that Spark runs on that is little-endian.
+        def encoded(texts: list[str]) -> list[bytes]:
+            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        class Parts(dict):
-            def __missing__(self, part: str) -> bytes:
-                out = whole(part)
-                if len(self) < MAX_PARTS:
-                    self[part] = out
-                return out
-
-        kept[path] = whole, Parts()
-    whole, parts = kept[path]
+        kept[path] = encoded, {}
+    encoded, known = kept[path]
     # White space beside white space or at an end, by the widest meaning of white space.
     joined = re.compile(r"[\s\x1c-\x1f\x85​﻿]{2}|^\s|\s\Z")
 
@@ -54,7 +48,13 @@ def id_bytes(path: str) -> Callable[[str | None], bytes]:
         if not text:
             return b""
         if "\0" in text or joined.search(text):
-            return whole(text)
-        return b"".join(map(parts.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
+            return encoded([text])[0]
+        parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        new = list(set(parts).difference(known))
+        fresh = dict(zip(new, encoded(new), strict=True)) if new else {}
+        if len(known) + len(fresh) <= MAX_PARTS:
+            known.update(fresh)
+            return b"".join(map(known.__getitem__, parts))
+        return b"".join([known[p] if p in known else fresh[p] for p in parts])
 
     return ids
