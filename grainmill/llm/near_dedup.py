@@ -22,12 +22,16 @@ travels(__name__)
 #: Half keys in a collection, and minhashes in a half key. Texts at similarity s have a key in common but with probability
 #: 2 * (1 - s**WIDTH)**HALVES: about 0.0004 at 0.8, 0.000005 at 0.9.
 HALVES, WIDTH = 12, 3
-#: Of 64 one-bit minhashes, as many may differ between candidates: six standard deviations over the mean at 0.8.
-MAX_BITS = 21
+#: One-bit minhashes of a set, in words of 64: the least hash of each of 512 equal ranges of hashes.
+WORDS = 8
+#: As many of them may differ between candidates: 5.5 standard deviations over the mean at a similarity of 0.8.
+MAX_BITS = 89
 
 _MINHASHES = 2 * HALVES * WIDTH
 _ODD = (np.random.default_rng(20240229).integers(0, 2**63, _MINHASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_RANGES = np.arange(64 * WORDS, dtype=np.uint64) << np.uint64(64 - (64 * WORDS).bit_length() + 1)
+BITS = [f"bits{k}" for k in range(WORDS)]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -55,8 +59,8 @@ def set_id(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - 2**63
 
 
-def signature(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """The two collections of half keys, and 64 one-bit minhashes."""
+def signature(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The two collections of half keys, and the words of one-bit minhashes; an empty range has bit 0."""
     least = np.full(_MINHASHES, 2**64 - 1, dtype=np.uint64)
     for at in range(0, len(found), 4096):
         least = np.minimum(least, (found[None, at : at + 4096] * _ODD[:, None]).min(axis=1))
@@ -64,13 +68,15 @@ def signature(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     keys = np.arange(2 * HALVES, dtype=np.uint64)
     for k in range(WIDTH):
         keys = mixed(keys * _MIX + halves[:, k])
-    bits = int(np.packbits((mixed(least[:64]) >> np.uint64(17) & np.uint64(1)).astype(np.uint8)).view(">i8")[0])
+    at = np.searchsorted(found, _RANGES)
+    filled = np.append(at[1:], len(found)) > at
+    bits = np.packbits(filled & (mixed(found[np.minimum(at, len(found) - 1)]) >> np.uint64(17) & np.uint64(1)).astype(bool)).view(">i8")
     keys = keys.view(np.int64)
-    return keys[:HALVES], keys[HALVES:], bits
+    return keys[:HALVES], keys[HALVES:], bits.tolist()
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, node (set id; null: no words), u, v, bits."""
+    """doc_id, n_shingles, node (set id; null: no words), u, v and the words of bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = np.zeros(0, dtype=np.int64)
@@ -78,7 +84,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             n, node, us, vs, bits = [], [], [], [], []
             for text in batch.column("text"):
                 found = shingles(text.as_py(), size)
-                u, v, b = signature(found) if len(found) else (empty, empty, 0)
+                u, v, b = signature(found) if len(found) else (empty, empty, [0] * WORDS)
                 n.append(len(found))
                 node.append(set_id(found) if len(found) else None)
                 us.append(u)
@@ -86,12 +92,12 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 bits.append(b)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(us, longs), pa.array(vs, longs), pa.array(bits, pa.int64())],
-                names=["doc_id", "n_shingles", "node", "u", "v", "bits"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(us, longs), pa.array(vs, longs), *(pa.array([b[k] for b in bits], pa.int64()) for k in range(WORDS))],
+                names=["doc_id", "n_shingles", "node", "u", "v", *BITS],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint, u array<bigint>, v array<bigint>, bits bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint, u array<bigint>, v array<bigint>, " + ", ".join(f"{b} bigint" for b in BITS))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -166,21 +172,22 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     # The 64-bit id of a set stands for it; the first document of a class stands for its text.
     marks = stored(signatures(docs, size), "signatures")
     worded = marks.where("node is not null")
-    firsts = worded.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first(F.struct("n_shingles", "u", "v", "bits")).alias("s"))
+    firsts = worded.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first(F.struct("n_shingles", "u", "v", *BITS)).alias("s"))
     classes = stored(firsts.select("node", "doc", "s.*"), "classes")
     keys = classes.select("node", F.explode("u").alias("u"), "v").select("node", "u", F.explode("v").alias("v")).select(F.xxhash64("u", "v").alias("key"), "node")
     shared = stored(keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key", "first"), "buckets")
     members = stored(keys.join(shared, "key"), "members")
-    facts = classes.select("node", "n_shingles", "bits")
+    facts = ["n_shingles", *BITS]
 
-    def plausible(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose sizes and one-bit minhashes allow the similarity."""
-        for side in ("a", "b"):
-            pairs = pairs.join(facts.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-        sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-        return pairs.where(sizes & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= MAX_BITS)).select("a", "b")
+    def side(table: DataFrame, name: str, *more: str) -> DataFrame:
+        return table.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in [*facts, *more]))
 
-    through = stored(plausible(members.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()), "pairs")
+    # Sizes and one-bit minhashes that allow the similarity.
+    sizes = 100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")
+    differ = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in BITS), F.lit(0))
+    plausible = sizes & (differ <= MAX_BITS)
+    met = members.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    through = stored(met.join(side(classes, "a"), "a").join(side(classes, "b"), "b").where(plausible).select("a", "b"), "pairs")
     # All nodes that can be in a comparison are in a shared bucket; only their texts are moved.
     wanted = members.select("node").distinct().join(classes.select("node", "doc"), "node")
     texts = stored(docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("doc"))).select("node", "text"), "texts")
@@ -195,9 +202,9 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     # Pairs of classes in one bucket, where they are not in one component yet.
     placed = rooted(members.select("key", "node"), roots, "node", "root")
     split = stored(placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key"), "split-buckets")
-    rest = stored(placed.join(split, "key"), "split-members")
-    meet = rest.select("key", F.col("node").alias("a"), F.col("root").alias("root_a")).join(rest.select("key", F.col("node").alias("b"), F.col("root").alias("root_b")), "key")
-    cross = plausible(meet.where("root_a < root_b").select("a", "b").distinct())
+    rest = stored(placed.join(split, "key").join(classes.select("node", *facts), "node"), "split-members")
+    apart = (F.col("key_a") == F.col("key_b")) & (F.col("root_a") < F.col("root_b")) & plausible
+    cross = side(rest, "a", "root", "key").join(side(rest, "b", "root", "key"), apart).select("a", "b").distinct()
     tried = through.select("a", "b").unionAll(through.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = links.unionAll(stored(confirmed(cross.join(tried, ["a", "b"], "left_anti"), texts, size, percent), "confirmed"))
     roots = components(links)
