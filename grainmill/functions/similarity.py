@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-# Up to this many candidates are listed in the plan instead of joined.
-FEW_CANDIDATES = 100
-
-
 def _ratio_function():
     def ratio(source: pd.Series, candidate: pd.Series) -> pd.Series:
         return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(source, candidate)], dtype="float64")
@@ -41,64 +37,57 @@ def _budget(source: Column, candidate: Column, min_ratio: float) -> Column:
     return F.floor((F.length(source) + F.length(candidate)) * slack / 100).cast("int")
 
 
-def _numbered_pairs(key: Column) -> Column:
-    """Adjacent letter pairs; the nth repeat of a pair carries n, so the pairs form a set."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length(key) - 1), lambda i: F.substr(key, i, F.lit(2)))
+def _numbered_letters(key: Column) -> Column:
+    """The letters of a key; the nth repeat of a letter carries n, so they form a set."""
+    letters = F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.substr(key, i, F.lit(1)))
     return F.transform(
-        pairs,
-        lambda p, i: F.concat(p, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda q: q == p)).cast("string")),
+        letters,
+        lambda p, i: F.concat(p, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda q: q == p)).cast("string")),
     )
 
 
+def _shared_letters(length: Column, other: Column, min_ratio: float) -> Column:
+    """Letters that keys of these lengths have in common at least: as many as are matched."""
+    return F.ceil((length + other) * F.lit(min_ratio / 2) - F.lit(1e-9)).cast("int")
+
+
 def similar_pairs(sources: DataFrame, candidates: DataFrame, min_ratio: float) -> DataFrame:
     """Every (source_key, candidate_key, ratio) with ratio >= min_ratio and keys that differ.
 
-    Both inputs have one distinct `key` column of two or more characters. Two keys this close
-    share many adjacent letter pairs, so after ordering the pairs from rare to common they
-    must share one within a computable prefix. Joining on that prefix finds every pair of keys
-    without comparing all with all.
+    Both inputs have one distinct `key` column of two or more characters; min_ratio is over 0. Matched characters are
+    letters that both keys have, so two keys this close share a computable number of numbered letters; with letters
+    ordered from rare to common, they share one within a computable prefix. Keys are joined on such a letter and on the
+    candidate's length, which finds every pair at any ratio without comparing all with all.
     """
-    few = [row["key"] for row in candidates.select("key").limit(FEW_CANDIDATES + 1).collect()]
-    if 0 < len(few) <= FEW_CANDIDATES:
-        # Counted and few: each source is compared with this short list in place, without a shuffle.
-        listed = sources.select(F.col("key").alias("source_key"), F.explode(F.array(*map(F.lit, few))).alias("candidate_key"))
-        pair = F.col("source_key"), F.col("candidate_key")
-        near = listed.where((pair[0] != pair[1]) & edit_filter(*pair, min_ratio))
-        return near.withColumn("ratio", similarity_ratio(*pair)).where(F.col("ratio") >= F.lit(min_ratio))
-
-    # With M matched characters, two keys share at least 3M - a - b - 1 adjacent pairs.
-    gain = 1.5 * min_ratio - 1
-    shortest_partner = min_ratio / (2 - min_ratio)
-
-    left = sources.select("key", F.explode(_numbered_pairs(F.col("key"))).alias("pair"))
-    right = candidates.select("key", F.explode(_numbered_pairs(F.col("key"))).alias("pair"))
-    counts = left.select("pair").unionAll(right.select("pair")).groupBy("pair").agg(F.count("*").alias("uses"))
-
-    # A fixed partition count: these rows are few bytes but much work, and would be coalesced.
-    partitions = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def signatures(pairs: DataFrame, name: str) -> DataFrame:
-        ordered = pairs.join(counts, "pair").groupBy("key").agg(
-            F.array_sort(F.collect_list(F.struct("uses", "pair"))).alias("pairs")
-        )
-        size = F.length("key")
-        partner = F.ceil(size * F.lit(shortest_partner) - F.lit(1e-9))
-        shared = F.greatest(F.lit(1), F.ceil((size + partner) * F.lit(gain) - F.lit(1 + 1e-9)))
-        keep = F.greatest(F.lit(1), F.size("pairs") - shared + 1).cast("int")
-        prefix = F.slice("pairs", F.lit(1), keep)["pair"]
-        rows = ordered.select(F.col("key").alias(name), prefix.alias(f"{name}_prefix"))
-        return rows.withColumn("pair", F.explode(f"{name}_prefix")).repartition(partitions, "pair")
-
+    shortest = min_ratio / (2 - min_ratio)
+    letters = {side: keys.select("key", F.explode(_numbered_letters(F.col("key"))).alias("letter")) for side, keys in (("s", sources), ("c", candidates))}
+    counts = letters["s"].select("letter").unionAll(letters["c"].select("letter")).groupBy("letter").agg(F.count("*").alias("uses"))
+
+    def ordered(side: str) -> DataFrame:
+        return letters[side].join(counts, "letter").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("uses", "letter"))).alias("letters"))
+
+    def prefix(shared: Column) -> Column:
+        return F.slice("letters", F.lit(1), F.greatest(F.lit(1), F.length("key") - shared + 1).cast("int"))["letter"]
+
+    size = F.length("key")
+    least = F.greatest(F.lit(1), F.ceil(size * F.lit(shortest) - F.lit(1e-9))).cast("int")
+    most = F.floor(size / F.lit(shortest) + F.lit(1e-9)).cast("int")
+    left = (
+        ordered("s").withColumn("length", F.explode(F.sequence(least, most)))
+        .select(F.col("key").alias("source_key"), "length", prefix(_shared_letters(size, F.col("length"), min_ratio)).alias("source_prefix"))
+        .withColumn("letter", F.explode("source_prefix"))
+    )
+    right = (
+        ordered("c").select(F.col("key").alias("candidate_key"), size.alias("length"), prefix(_shared_letters(size, least, min_ratio)).alias("candidate_prefix"))
+        .withColumn("letter", F.explode("candidate_prefix"))
+    )
     source, candidate = F.col("source_key"), F.col("candidate_key")
-    # Two keys meet once per common pair; only the meeting on the first common one counts.
-    first_common = F.get(F.array_intersect("source_key_prefix", "candidate_key_prefix"), F.lit(0))
+    # Two keys meet once per common letter; only the meeting on the first common one counts.
+    first_common = F.get(F.array_intersect("source_prefix", "candidate_prefix"), F.lit(0))
     found = (
-        signatures(left, "source_key")
-        .join(signatures(right, "candidate_key"), "pair")
-        .where((source != candidate) & (F.abs(F.length(source) - F.length(candidate)) <= _budget(source, candidate, min_ratio)))
-        .where(F.col("pair") == first_common)
+        left.join(right, ["letter", "length"])
+        .where((source != candidate) & (F.col("letter") == first_common))
         .where(edit_filter(source, candidate, min_ratio))
         .select("source_key", "candidate_key")
     )
-    ratio = similarity_ratio(F.col("source_key"), F.col("candidate_key"))
-    return found.withColumn("ratio", ratio).where(F.col("ratio") >= F.lit(min_ratio))
+    return found.withColumn("ratio", similarity_ratio(source, candidate)).where(F.col("ratio") >= F.lit(min_ratio))

@@ -2,6 +2,22 @@
 
 # Column-name words that give a column its role.
 ID_WORDS = ["id", "sku", "reference", "ref", "numero", "code_commande", "order_id", "invoice_id"]
+# An identifier's name is one of these words, or begins or ends with "id".
+ID_SHAPE = "|".join([*ID_WORDS, "id_.*", ".*_id"])
+
+# Name fragments per outcome; the first rule with a fragment of each of its groups holds.
+LABEL_RULES = [
+    ("city", [["ville", "city", "localisation"]]),
+    ("channel", [["canal", "channel"]]),
+    ("status", [["statut", "status", "etat"]]),
+    ("customer_type", [["client"], ["type", "profil", "segment"]]),
+    ("category", [["categorie", "category"]]),
+]
+MODE_FILL_RULES = [
+    ("forbidden", [["id", "code", "identifiant", "numero", "nom", "name", "produit", "vendeur"]]),
+    *[("allowed", groups) for _, groups in LABEL_RULES],
+    ("allowed", [["mode", "paiement", "payment", "pays", "region", "segment"]]),
+]
 AMOUNT_WORDS = [
     "montant", "amount", "total", "prix", "price", "revenue", "chiffre", "ventes", "sales",
     "cout", "cost", "marge", "margin", "remise", "discount", "frais", "tva", "ttc", "ht",

@@ -41,8 +41,8 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
     )
     shape = edges.select(F.struct("lo", "hi", "bins").alias("s")).scalar()
     lo, hi, bins = shape["lo"], shape["hi"], shape["bins"]
-    # The last bin is closed: the maximum belongs to it.
-    bin_of = F.least(F.floor((F.col("v") - lo) * bins / (hi - lo)).cast("int") + 1, bins)
+    # The last bin is closed: the maximum belongs to it. Equal values are all in the first.
+    bin_of = F.least(F.coalesce(F.floor(F.try_divide((F.col("v") - lo) * bins, hi - lo)), F.lit(0)).cast("int") + 1, bins)
     counts = values.select(bin_of.alias("bin")).groupBy("bin").agg(F.count("*").alias("rows"))
     width = (F.col("hi") - F.col("lo")) / F.col("bins")
     axis = edges.select("lo", "hi", "bins", F.explode(F.sequence(F.lit(1), F.col("bins"))).alias("bin"))
@@ -61,7 +61,8 @@ def cut_bins(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     shape = values.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi")).alias("s")).scalar()
     lo, hi = shape["lo"], shape["hi"]
     width = (hi - lo) / bins
-    position = F.least(F.greatest(F.ceil((F.col("_v") - lo) / width).cast("int"), F.lit(1)), F.lit(bins))
+    place = F.coalesce(F.ceil(F.try_divide(F.col("_v") - lo, width)), F.lit(1))
+    position = F.least(F.greatest(place.cast("int"), F.lit(1)), F.lit(bins))
     low = F.when(F.col("bin") == 1, lo - (hi - lo) * 0.001).otherwise(lo + width * (F.col("bin") - 1))
     return (
         values.where(F.col("_v").isNotNull())

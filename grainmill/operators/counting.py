@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grainmill.operators.roles import quoted
 from grainmill.plans.checkpoints import saved
@@ -15,19 +16,22 @@ MEDIAN_VALUES_PER_GROUP = 200_000
 MAX_BROADCAST_GROUPS = 100_000
 
 
-def row_digest(columns: Sequence[str]) -> Column:
+def row_digest(columns: Sequence[str], nested: Sequence[str] = ()) -> Column:
     """128-bit digest of a row, NULL and position aware.
 
     Two independent 64-bit hashes: at 10^12 rows the chance of one wrong duplicate is about
-    10^-15, and a shuffle carries 16 bytes per row instead of the row.
+    10^-15, and a shuffle carries 16 bytes per row instead of the row. Hashes skip NULLs inside a value,
+    so `nested` columns are hashed as JSON that keeps them.
     """
-    cells = [part for name in columns for part in (quoted(name), quoted(name).isNull())]
+    value = {name: F.to_json(quoted(name), {"ignoreNullFields": "false"}) if name in nested else quoted(name) for name in columns}
+    cells = [part for name in columns for part in (value[name], quoted(name).isNull())]
     return F.struct(F.xxhash64(F.lit(17), *cells).alias("h1"), F.xxhash64(*reversed(cells), F.lit(42)).alias("h2"))
 
 
 def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     """Rows beyond the first of each identical group, as a scalar subquery."""
-    digest = row_digest(columns or df.columns)
+    nested = [f.name for f in df.schema if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    digest = row_digest(columns or df.columns, nested)
     groups = df.groupBy(digest.alias("digest")).agg(F.count("*").alias("n"))
     return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates")).scalar()
 

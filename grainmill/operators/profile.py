@@ -151,7 +151,7 @@ def _castable(df: DataFrame, name: str) -> Column:
     return cast_number(strip(quoted(name))) if text else as_number(quoted(name), data_type)
 
 
-def numeric_summary(df: DataFrame, max_columns: int = 60) -> DataFrame:
+def numeric_summary(df: DataFrame, max_columns: int | None = None) -> DataFrame:
     """Statistics of the columns that are numeric for at least 80 % of rows (3 at least).
 
     The sample standard deviation and the median are exact; medians come from column_medians().
@@ -186,7 +186,7 @@ NUMERIC_SUMMARY = (
 )
 
 
-def value_distributions(df: DataFrame, max_columns: int = 60, max_values: int = 20, top: int = 10) -> DataFrame:
+def value_distributions(df: DataFrame, max_columns: int | None = None, max_values: int = 20, top: int = 10) -> DataFrame:
     """Ten most frequent values of each column with 2..20 of them; sensitive columns never leave."""
     names = [c for c in df.columns[:max_columns] if not is_sensitive_name(c)]
     small = distinct_up_to(df, names, max_values)
@@ -206,7 +206,7 @@ def value_distributions(df: DataFrame, max_columns: int = 60, max_values: int =
     return ranked.select("column_name", F.substring("value", 1, 80).alias("value"), "count")
 
 
-def correlations(df: DataFrame, max_columns: int = 24, top: int = 5) -> DataFrame:
+def correlations(df: DataFrame, max_columns: int | None = None, top: int = 5) -> DataFrame:
     """Strongest Pearson correlations over rows where both columns are present."""
     names = numeric_columns(df)[:max_columns]
     rows = df.select(*[quoted(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
@@ -303,18 +303,17 @@ def entity_column(columns: Sequence[str], question: str) -> str | None:
     if not any(marker in text for marker in V.COUNT_MARKERS):
         return None
     asked = set(text.split())
-    by_key = {snake(c): c for c in columns}
-    for terms in V.ENTITY_WORDS.values():
-        if asked.isdisjoint(terms):
-            continue
-        for term in terms:
-            for key in (f"{term}_id", f"{term}_name", term, f"{term}s"):
-                if key in by_key:
-                    return by_key[key]
-            named = [c for key, c in by_key.items() if term in key.split("_")]
-            if named:
-                return min(named, key=lambda c: ("_id" not in snake(c), len(c)))
-    for key, c in by_key.items():
-        if any(len(token) > 2 and token in asked for token in key.split("_")):
-            return c
-    return None
+    ranks = []
+    for place, column in enumerate(columns):
+        key = snake(column)
+        parts = key.split("_")
+        for group, terms in enumerate(V.ENTITY_WORDS.values()):
+            for order, term in enumerate(terms if asked & set(terms) else ()):
+                whole = [f"{term}_id", f"{term}_name", term, f"{term}s"]
+                if key in whole:
+                    ranks.append((0, group, order, 0, whole.index(key), 0, place))
+                elif term in parts:
+                    ranks.append((0, group, order, 1, int("_id" not in key), len(column), place))
+        if asked & {part for part in parts if len(part) > 2}:
+            ranks.append((1, 0, 0, 0, 0, 0, place))
+    return columns[min(ranks)[-1]] if ranks else None

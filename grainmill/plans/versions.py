@@ -14,9 +14,8 @@ from grainmill.operators.cleaning import apply_cleaning
 from grainmill.plans.medallion import refresh
 from grainmill.sources.layers import Project, utc_now
 
-# How many batches can be undone and how many recipes are listed.
-BATCHES_KEPT = 20
-RECIPES_KEPT = 20
+# Stands in the journal for the withdrawal of all batches before it.
+RESET = "reset"
 BATCH_SCHEMA = (
     "batch_id string, applied_at string, label string, actions array<string>, before string, after string, "
     "log array<struct<step:int,action:string,rows_before:bigint,rows_after:bigint,missing_before:bigint,missing_after:bigint>>, "
@@ -33,11 +32,12 @@ def _journal(project: Project, name: str, schema: str) -> DataFrame:
 
 
 def batches(project: Project) -> DataFrame:
-    """Batches still in force, oldest first; the latest twenty."""
+    """Batches still in force, oldest first: applied after the last reset and not undone."""
     rows = _journal(project, "batches", BATCH_SCHEMA)
     undone = rows.where("undone").select("batch_id")
-    live = rows.where("not undone").join(undone, "batch_id", "left_anti")
-    return live.orderBy(F.desc("applied_at")).limit(BATCHES_KEPT).orderBy("applied_at")
+    last_reset = rows.where(F.col("batch_id") == RESET).agg(F.max("applied_at").alias("reset_at"))
+    live = rows.where("not undone").join(undone, "batch_id", "left_anti").crossJoin(F.broadcast(last_reset))
+    return live.where(F.col("reset_at").isNull() | (F.col("applied_at") > F.col("reset_at"))).drop("reset_at").orderBy("applied_at")
 
 
 def cleaning_log(project: Project) -> DataFrame:
@@ -88,8 +88,8 @@ def undo(project: Project, raw: DataFrame, as_of: dt.date) -> bool:
 
 def reset(project: Project, raw: DataFrame, as_of: dt.date) -> None:
     """Back to the raw table; every batch is withdrawn."""
-    for row in batches(project).collect():
-        _append(project, "batches", {**row.asDict(recursive=True), "undone": True}, BATCH_SCHEMA)
+    event = {"batch_id": RESET, "applied_at": utc_now(), "label": RESET, "actions": [], "before": None, "after": None, "log": [], "undone": True}
+    _append(project, "batches", event, BATCH_SCHEMA)
     project.publish({"version": None})
     refresh(project, raw, as_of, "reset")
 
@@ -104,9 +104,10 @@ def save_recipe(project: Project, name: str) -> str | None:
     return row["recipe_id"]
 
 
-def recipes(project: Project) -> DataFrame:
-    rows = _journal(project, "recipes", RECIPE_SCHEMA)
-    return rows.orderBy(F.desc("created_at")).limit(RECIPES_KEPT)
+def recipes(project: Project, limit: int | None = None) -> DataFrame:
+    """Recipes, newest first; `limit` is for display."""
+    rows = _journal(project, "recipes", RECIPE_SCHEMA).orderBy(F.desc("created_at"))
+    return rows.limit(limit) if limit else rows
 
 
 def apply_recipe(project: Project, raw: DataFrame, recipe: Sequence[str], name: str, as_of: dt.date) -> int:

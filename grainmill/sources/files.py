@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import json
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,8 +90,22 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
+def _is_json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the file has one whole object on its first line and more lines after it."""
+    head = [r["value"] for r in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
+    if len(head) < 2 or not head[0].lstrip("\ufeff ").startswith("{"):
+        return False
+    try:
+        return isinstance(json.loads(head[0].lstrip("\ufeff ")), dict)
+    except ValueError:
+        return False
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A list of objects, the list under a record key, or one object of equally long lists."""
+    """A list of objects, the list under a record key, one object of equally long lists, or JSON Lines.
+    In JSON Lines a line that is no object stops the read."""
+    if _is_json_lines(spark, path):
+        return guard(flatten(spark.read.option("mode", "FAILFAST").json(path)))
     raw = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
     arrays = {f.name: f.dataType for f in raw.schema if isinstance(f.dataType, T.ArrayType)}
     for key in RECORD_KEYS:
@@ -122,11 +137,11 @@ def guard(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(~F.isnan(quoted(c)), quoted(c)).alias(c) if c in floats else quoted(c) for c in df.columns])
 
 
-def read_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """Read by extension."""
+def read_dataset(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Read by extension. `multi_line`: quoted cells of a CSV file may hold line breaks."""
     lowered = path.lower().rstrip("/")
     if lowered.endswith((".csv", ".csv.gz")):
-        return read_csv(spark, path)
+        return read_csv(spark, path, multi_line=multi_line)
     if lowered.endswith(".json"):
         return read_json(spark, path)
     raise ScanError("use CSV or JSON")
@@ -155,7 +170,16 @@ _C1_IN_1252 = bytes(_DEFINED).decode("cp1252")
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """file, sha256, bytes. One file is one row here: meant for source files, not table folders."""
+    """file, sha256, bytes of a source, in one row. A source of several parts has the digest of its parts' names and digests in
+    order, the sum of their bytes and the name of its folder."""
     files = spark.read.format("binaryFile").load(path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return files.select(name.alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    each = files.select(name.alias("file"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    parts = F.array_sort(F.collect_list(F.struct("file", "sha256")))
+    whole = each.agg(parts.alias("parts"), F.max("folder").alias("folder"), F.sum("bytes").alias("bytes"))
+    listed = F.array_join(F.transform("parts", lambda p: F.concat_ws(" ", p["file"], p["sha256"])), "\n")
+    one = F.size("parts") == 1
+    return whole.select(
+        F.when(one, F.col("parts")[0]["file"]).otherwise(F.col("folder")).alias("file"),
+        F.when(one, F.col("parts")[0]["sha256"]).otherwise(F.sha2(listed, 256)).alias("sha256"), "bytes",
+    )

@@ -26,7 +26,6 @@ from grainmill.operators.roles import quoted
 
 TABLE_NAME = re.compile(r"^[a-z][a-z0-9_]{0,63}$")
 POINTER_SCHEMA = "changed_at string, seq bigint, name string, location string, dropped boolean"
-RUNS_KEPT = 50
 
 CHECK_STRUCT = (
     "struct<id:string,column:string,rule:string,label:string,failing_rows:bigint,total_rows:bigint,"
@@ -111,17 +110,18 @@ class Project:
         df = self.spark.createDataFrame([run], T.StructType.fromDDL(RUN_SCHEMA))
         df.coalesce(1).write.mode("append").json(f"{self.path}/runs")
 
-    def runs(self, limit: int = 10) -> DataFrame:
-        """Most recent runs first; unreadable lines are skipped and only the last 50 count."""
-        return read_runs(self.spark, f"{self.path}/runs", min(limit, RUNS_KEPT))
+    def runs(self, limit: int | None = None) -> DataFrame:
+        """Most recent runs first, all of them unless `limit` asks for fewer to display; unreadable lines are skipped."""
+        return read_runs(self.spark, f"{self.path}/runs", limit)
 
 
-def read_runs(spark: SparkSession, path: str, limit: int) -> DataFrame:
+def read_runs(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     try:
         runs = spark.read.schema(RUN_SCHEMA).option("mode", "DROPMALFORMED").json(path)
     except AnalysisException:
         runs = spark.createDataFrame([], RUN_SCHEMA)
-    return runs.where("run_id is not null").orderBy(F.desc("started_at"), F.desc("run_id")).limit(limit)
+    newest = runs.where("run_id is not null").orderBy(F.desc("started_at"), F.desc("run_id"))
+    return newest.limit(limit) if limit else newest
 
 
 def run_history(runs: DataFrame) -> DataFrame:

@@ -30,22 +30,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One given table. A file of a single row group is one task however many cores there are, so a
-    table with fewer splits than cores is spread once; larger tables keep their own splits."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
-
-
-SPREAD = {"lineitem", "orders", "documents", "conversations", "events"}
+    """One given table, in its own splits."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder for files a query writes and reads back: the cluster's shared folder, or a
     temporary one in a session that names none."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     base = f"{shared.rstrip('/')}/grainmill" if shared else tempfile.mkdtemp(prefix="grainmill-")
     return f"{base}/{name}-{uuid.uuid4().hex[:8]}"
 
