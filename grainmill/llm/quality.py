@@ -19,7 +19,7 @@ from grainmill.llm.common import by_row, stored, travels
 
 travels(__name__)
 
-ORDER = 5
+ORDER = 4
 HASH_BITS = 22
 #: Distinct n-grams that a counting task holds before it passes them on.
 HELD = 1 << 21
@@ -152,37 +152,53 @@ def _slot(key: Column) -> Column:
     return of("language", key)
 
 
+def _discounts(times: dict[int, int]) -> list[float]:
+    """What counts of 1, 2 and more give up, from how many n-grams occur once to four times."""
+    n1, n2, n3, n4 = (times.get(i, 0) for i in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5
+    # Counts of counts of small corpora can be zero or out of order; a discount stays between 0 and its count.
+    return [min(max(i - (i + 1) * y * b / a, 0.05), i - 0.05) if a else 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+
+
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
     """Log probabilities of the n-grams seen, and log weights of their contexts, from n-gram counts.
 
     Lower orders count the distinct bytes before a gram. Discounts of each order for counts 1, 2 and more follow from
     the counts of counts. Returns ("p" or "w", order, slots in order, float values).
     """
-    levels = {order: stored(counts, "grams")}
-    for k in range(order - 1, 0, -1):
-        levels[k] = stored(levels[k + 1].groupBy("language", F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.count("*").alias("n")), "grams")
-    arrays = []
-    lower = None
+    top = stored(counts, "grams")
+    shorter = [F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("longer")) for k in range(1, order)]
+    longer = top.select("language", F.inline(F.array(*shorter))).distinct()
+    lower = longer.groupBy("language", "k", F.expr("longer & (shiftleft(1L, 8 * k) - 1)").alias("gram")).agg(F.count("*").alias("n"))
+    levels = stored(top.select("language", F.lit(order).alias("k"), "gram", "n").unionAll(lower), "levels")
+    times: dict[int, dict[int, int]] = {}
+    for r in levels.where("n <= 4").groupBy("k", "n").count().collect():  # four rows an order
+        times.setdefault(r[0], {})[r[1]] = r[2]
+    n, discount = F.col("n"), F.lit(0.5)
+    for k in range(1, order + 1):
+        d = _discounts(times.get(k, {}))
+        discount = F.when(F.col("k") == k, F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])).otherwise(discount)
+    seen = levels.withColumn("context", F.shiftright("gram", 8))
+    weights = seen.groupBy("language", "k", "context").agg(F.sum("n").alias("total"), (F.sum(discount) / F.sum("n")).alias("weight"))
+    table = stored(seen.join(weights, ["language", "k", "context"]).select("language", "k", "gram", "context", "weight", ((n - discount) / F.col("total")).alias("own")), "weights")
+
+    arrays, below = [], None
     for k in range(1, order + 1):
-        times = {int(r[0]): r[1] for r in levels[k].where("n <= 4").groupBy("n").count().collect()}
-        n1, n2, n3, n4 = (times.get(i, 0) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5
-        # Counts of counts of small corpora can be zero or out of order; a discount stays between 0 and its count.
-        d = [min(max(i - (i + 1) * y * b / a, 0.05), i - 0.05) if a else 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        n = F.col("n")
-        discount = F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
-        seen = levels[k].withColumn("context", F.shiftright("gram", 8))
-        weights = seen.groupBy("language", "context").agg(F.sum("n").alias("total"), (F.sum(discount) / F.sum("n")).alias("weight"))
-        joined = seen.join(weights, ["language", "context"])
-        if lower is None:
-            below = F.lit(1 / 256)
+        level = table.where(F.col("k") == k)
+        if below is None:
+            level = level.withColumn("p", F.col("own") + F.col("weight") / 256)
         else:
-            joined = joined.withColumn("rest", F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1)).join(lower.select("language", F.col("gram").alias("rest"), F.col("p").alias("below")), ["language", "rest"])
-            below = F.col("below")
-        lower = stored(joined.select("language", "gram", "context", "weight", ((n - discount) / F.col("total") + F.col("weight") * below).alias("p")), "probabilities")
-        for name, key, value in (("p", "gram", "p"), ("w", "context", "weight")):
-            table = lower.select(_slot(F.col(key)).alias("slot"), value).groupBy("slot").agg(F.max(value).alias("value")).toPandas().sort_values("slot")
-            arrays.append((name, k, table["slot"].to_numpy(np.int32), np.log(table["value"].to_numpy()).astype(np.float32)))
+            rest = below.select("language", F.col("gram").alias("rest"), F.col("p").alias("below"))
+            level = level.withColumn("rest", F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1)).join(rest, ["language", "rest"])
+            level = level.withColumn("p", F.col("own") + F.col("weight") * F.col("below"))
+        below = level.select("language", "gram", "context", "weight", "p")
+        both = F.inline(F.array(*(F.struct(F.lit(name).alias("name"), F.col(key).alias("key"), F.col(value).alias("value")) for name, key, value in (("p", "gram", "p"), ("w", "context", "weight")))))
+        values = below.select("language", both).distinct()
+        packed = values.select("name", _slot(F.col("key")).alias("slot"), "value").groupBy("name", "slot").agg(F.max("value").cast("float").alias("value"))
+        found = packed.toPandas().sort_values("slot")
+        for name in ("p", "w"):
+            own = found[found["name"] == name]
+            arrays.append((name, k, own["slot"].to_numpy(np.int32), np.log(own["value"].to_numpy(np.float32))))
     return arrays
 
 
@@ -238,20 +254,20 @@ def measured(docs: DataFrame, carry: tuple[str, ...] = (), order: int = ORDER) -
     return by_row(docs, ["text", "lang"], list(dict.fromkeys(["doc_id", "lang", *carry])), f"{BASE}, base_failed boolean, log_ppl double", start)
 
 
-def perplexity_bands(scored: DataFrame, width: float = 4.0, least_spread: float = 0.02) -> DataFrame:
+def perplexity_bands(scored: DataFrame, width: float = 12.0, least_spread: float = 0.02) -> DataFrame:
     """lang, lower, upper: around the median log perplexity of a language's documents that pass the base rules.
 
-    The spread is that of a normal distribution with the same quartiles. Low perplexities are common among short texts
-    with well-known lines, so the lower band is twice as wide. Values are rounded to 0.001, so the exact
+    The spread is that of a normal distribution with the same quartiles. The bands are wide: they are for gibberish, text in
+    quite another language and text that repeats itself, and leave odd but clean texts alone. Values are rounded to 0.001, so the exact
     quartiles need a few thousand counters whatever the number of documents.
     """
     quartiles = F.percentile(F.round("log_ppl", 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     per_language = scored.where(~F.col("base_failed") & F.col("log_ppl").isNotNull()).groupBy(F.coalesce("lang", F.lit("")).alias("_lang")).agg(quartiles.alias("q"))
     spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(least_spread))
-    return per_language.select("_lang", (F.col("q")[1] - 2 * width * spread).alias("lower"), (F.col("q")[1] + width * spread).alias("upper"))
+    return per_language.select("_lang", (F.col("q")[1] - width * spread).alias("lower"), (F.col("q")[1] + width * spread).alias("upper"))
 
 
-def quality_rules(docs: DataFrame, carry: tuple[str, ...] = (), width: float = 4.0, byte_sd: float = 1.2) -> DataFrame:
+def quality_rules(docs: DataFrame, carry: tuple[str, ...] = (), width: float = 12.0, byte_sd: float = 1.2) -> DataFrame:
     """Base counts of every document and the verdict of language-specific perplexity bands.
 
     Returns doc_id, lang, the columns of BASE, base_failed, log_ppl, lower, upper, kept and the columns of `carry`, one row per input row.
