@@ -27,7 +27,7 @@ WORDS = 8
 #: As many of them may differ between candidates: 5.5 standard deviations over the mean at a similarity of 0.8.
 MAX_BITS = 89
 #: Parities of a set, in words of 64: whether each of 512 equal classes of hashes has an odd number of shingles. Two sets differ in
-#: at most as many parities as shingles, so this test, sharp for sets up to about 1,000 shingles, never loses a link.
+#: at most as many parities as shingles, so this test, sharpest for sets of a few hundred shingles, never loses a link.
 ODD_WORDS = 8
 
 _MINHASHES = 2 * HALVES * WIDTH

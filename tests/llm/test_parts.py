@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
+from grainmill.llm import near_dedup
 from grainmill.llm.decontaminate import scan, windows, words
 from grainmill.llm.licenses import canonical, digest
 from grainmill.llm.main_text import main_blocks
@@ -138,3 +139,16 @@ def test_main_text_of_pages():
     assert main_blocks(page) == ["Title", "First, with text; more text.", "Second & last one, folks. It is long."]
     assert main_blocks(None) == [] and main_blocks("<p></p>") == [] and main_blocks("<!-- x") == []
     assert main_blocks("<body><nav>m</nav><article><h1>H</h1><p><b>Bold.<br><p>Next</article><footer>f</footer>") == ["H", "Bold.", "Next"]
+
+
+def test_parities_differ_at_most_as_often_as_shingles():
+    words = [f"w{k}" for k in range(1500)]
+    for n in (3, 40, 300, 1400):
+        for changed in (0, 1, n // 10, n // 2):
+            other = [w if k >= changed else f"x{k}" for k, w in enumerate(words[:n])]
+            one, two = near_dedup.shingles(" ".join(words[:n])), near_dedup.shingles(" ".join(other))
+            odds = [near_dedup.signature(s)[2][near_dedup.WORDS :] for s in (one, two)]
+            differ = sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(*odds, strict=True))
+            alone = len(np.setxor1d(one, two))
+            assert len(odds[0]) == near_dedup.ODD_WORDS
+            assert differ <= alone and (differ - alone) % 2 == 0
