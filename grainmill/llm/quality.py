@@ -1,26 +1,29 @@
 """Quality rules: plain counts of a text, and the perplexity of a modified Kneser-Ney model of byte n-grams.
 
-The model is counted by Spark over all documents, per language. Its probabilities lie in arrays sorted by a hash of
-the n-gram, at most 2**HASH_BITS entries an order, whatever the corpus.
+The model is counted by Spark over all documents, per language. Its probabilities lie in the shared folder, in files
+sorted by language and n-gram, as many as the n-grams need; scoring tasks map them, and nothing of them passes the driver.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import by_row, stored, travels
+from grainmill.llm.common import by_row, shared_folder, stored, travels
 
 travels(__name__)
 
-ORDER = 4
-HASH_BITS = 22
+#: Bytes of an n-gram: at most 7, so that it is a 64-bit integer itself and no two share one.
+ORDER = 5
+#: N-grams in a file of the model.
+FILE_GRAMS = 1 << 20
 #: Distinct n-grams that a counting task holds before it passes them on.
 HELD = 1 << 21
 WINDOW = 8
@@ -129,29 +132,6 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return each.groupBy("language", "gram").agg(F.sum("n").alias("n"))
 
 
-def slot(key: np.ndarray | int, lang: int) -> np.ndarray:
-    """Where a key of a language stands in the arrays: the top bits of a product hash."""
-    mixed = (np.asarray(key, dtype=np.int64).view(np.uint64) + np.uint64(lang * 0xD1B54A32D192ED03 % 2**64)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(32)
-    return (mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
-
-
-def _slot(key: Column) -> Column:
-    """The slots of (language, key), by the same function as the scorer's."""
-
-    @F.pandas_udf("int")
-    def of(language, key):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        langs = language.to_numpy()
-        out = np.zeros(len(langs), dtype=np.int32)
-        for lang in np.unique(langs):
-            out[langs == lang] = slot(key.to_numpy()[langs == lang], int(lang))
-        return pd.Series(out)
-
-    return of("language", key)
-
-
 def _discounts(times: dict[int, int]) -> list[float]:
     """What counts of 1, 2 and more give up, from how many n-grams occur once to four times."""
     n1, n2, n3, n4 = (times.get(i, 0) for i in (1, 2, 3, 4))
@@ -160,11 +140,11 @@ def _discounts(times: dict[int, int]) -> list[float]:
     return [min(max(i - (i + 1) * y * b / a, 0.05), i - 0.05) if a else 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
-    """Log probabilities of the n-grams seen, and log weights of their contexts, from n-gram counts.
+def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """language, gram, log_p: the interpolated log probability of each n-gram's last byte after the others, from n-gram counts.
 
     Lower orders count the distinct bytes before a gram. Discounts of each order for counts 1, 2 and more follow from
-    the counts of counts. Returns ("p" or "w", order, slots in order, float values).
+    the counts of counts.
     """
     top = stored(counts, "grams")
     shorter = [F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("longer")) for k in range(1, order)]
@@ -180,38 +160,67 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> list[tuple[str, int, np
         discount = F.when(F.col("k") == k, F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])).otherwise(discount)
     seen = levels.withColumn("context", F.shiftright("gram", 8))
     weights = seen.groupBy("language", "k", "context").agg(F.sum("n").alias("total"), (F.sum(discount) / F.sum("n")).alias("weight"))
-    table = stored(seen.join(weights, ["language", "k", "context"]).select("language", "k", "gram", "context", "weight", ((n - discount) / F.col("total")).alias("own")), "weights")
+    table = stored(seen.join(weights, ["language", "k", "context"]).select("language", "k", "gram", "weight", ((n - discount) / F.col("total")).alias("own")), "weights")
 
-    arrays, below = [], None
-    for k in range(1, order + 1):
-        level = table.where(F.col("k") == k)
-        if below is None:
-            level = level.withColumn("p", F.col("own") + F.col("weight") / 256)
-        else:
-            rest = below.select("language", F.col("gram").alias("rest"), F.col("p").alias("below"))
-            level = level.withColumn("rest", F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1)).join(rest, ["language", "rest"])
-            level = level.withColumn("p", F.col("own") + F.col("weight") * F.col("below"))
-        below = level.select("language", "gram", "context", "weight", "p")
-        both = F.inline(F.array(*(F.struct(F.lit(name).alias("name"), F.col(key).alias("key"), F.col(value).alias("value")) for name, key, value in (("p", "gram", "p"), ("w", "context", "weight")))))
-        values = below.select("language", both).distinct()
-        packed = values.select("name", _slot(F.col("key")).alias("slot"), "value").groupBy("name", "slot").agg(F.max("value").cast("float").alias("value"))
-        found = packed.toPandas().sort_values("slot")
-        for name in ("p", "w"):
-            own = found[found["name"] == name]
-            arrays.append((name, k, own["slot"].to_numpy(np.int32), np.log(own["value"].to_numpy(np.float32))))
-    return arrays
-
-
-def scorer(arrays: list[tuple[str, int, np.ndarray, np.ndarray]], order: int) -> Callable[[list[bytes], str | None], float | None]:
-    """A function from a text's words and language to its log perplexity per byte; None if it has no whole n-gram."""
-    tables = {(name, k): (slots, values) for name, k, slots, values in arrays}
-
-    def look(name: str, k: int, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = tables[name, k]
-        if not len(keys):
-            return np.zeros(len(slots), dtype=bool), np.zeros(len(slots), dtype=np.float32)
-        at = np.minimum(np.searchsorted(keys, slots), len(keys) - 1)
-        return keys[at] == slots, values[at]
+    below = table.where("k = 1").select("language", "gram", (F.col("own") + F.col("weight") / 256).alias("p"))
+    for k in range(2, order + 1):
+        rest = below.select("language", F.col("gram").alias("rest"), F.col("p").alias("below"))
+        level = table.where(F.col("k") == k).withColumn("rest", F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1))
+        below = level.join(rest, ["language", "rest"]).select("language", "gram", (F.col("own") + F.col("weight") * F.col("below")).alias("p"))
+    return below.select("language", "gram", F.log("p").cast("float").alias("log_p"))
+
+
+def model_files(model: DataFrame, file_grams: int = FILE_GRAMS) -> tuple[str, list[Row]]:
+    """Write the model to the shared folder: each range of (language, gram) to files of sorted grams and their values.
+
+    Returns the folder and a row per file: language, least (its first gram), n, name. A task that runs twice writes other names.
+    """
+    folder = f"{shared_folder(model.sparkSession)}/kneser-ney-{uuid.uuid4().hex}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[batch.column(c).to_numpy() for c in ("language", "gram", "log_p")] for batch in batches]
+        if not parts:
+            return
+        langs, keys, values = (np.concatenate(column) for column in zip(*parts, strict=True))
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        made = []
+        for lang in np.unique(langs):
+            own, name = langs == lang, uuid.uuid4().hex
+            with store.open_output_stream(f"{path}/{name}") as out:
+                out.write(keys[own].astype("<i8").tobytes())
+                out.write(values[own].astype("<f4").tobytes())
+            made.append((int(lang), int(keys[own][0]), int(own.sum()), name))
+        columns = zip(*made, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in columns], names=["language", "least", "n", "name"])
+
+    model = stored(model, "model")
+    dealt = model.repartitionByRange(model.count() // file_grams + 1, "language", "gram").sortWithinPartitions("language", "gram")
+    return folder, dealt.mapInArrow(write, "language bigint, least bigint, n bigint, name string").orderBy("language", "least").collect()
+
+
+def scorer(folder: str, files: list[Row], order: int) -> Callable[[list[bytes], str | None], float | None]:
+    """A function from a text's words and language to its log perplexity per byte; None if it has no whole n-gram.
+
+    The texts are those that were counted. Files on a mounted folder are mapped, others read, when a text first needs them.
+    """
+    store, path = fs.FileSystem.from_uri(folder)
+    own: dict[int, list[Row]] = {}
+    for row in files:
+        own.setdefault(row["language"], []).append(row)
+    leasts = {lang: np.array([r["least"] for r in rows], dtype=np.int64) for lang, rows in own.items()}
+    opened: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def arrays(row: Row) -> tuple[np.ndarray, np.ndarray]:
+        if row["name"] not in opened:
+            name, n = f"{path}/{row['name']}", row["n"]
+            if isinstance(store, fs.LocalFileSystem):
+                raw = np.memmap(name, dtype=np.uint8, mode="r")
+            else:
+                with store.open_input_file(name) as file:
+                    raw = np.frombuffer(file.read(), dtype=np.uint8)
+            opened[row["name"]] = np.asarray(raw[: 8 * n]).view("<i8"), np.asarray(raw[8 * n :]).view("<f4")
+        return opened[row["name"]]
 
     def score(words: list[bytes], lang: str | None) -> float | None:
         keys, times = counted(grams(b" " + b" ".join(words) + b" ", order))
@@ -219,17 +228,14 @@ def scorer(arrays: list[tuple[str, int, np.ndarray, np.ndarray]], order: int) ->
             return None
         code = language(lang)
         logs = np.zeros(len(keys))
-        left = np.arange(len(keys))
-        for k in range(order, 0, -1):
-            rest = keys[left] & ((1 << 8 * k) - 1)
-            found, value = look("p", k, slot(rest, code))
-            logs[left[found]] += value[found]
-            left, rest = left[~found], rest[~found]
-            if not len(left):
-                break
-            found, value = look("w", k, slot(rest >> 8, code))
-            logs[left[found]] += value[found]
-        logs[left] += math.log(1 / 256)
+        edges = [0, *np.searchsorted(keys, leasts[code][1:]).tolist(), len(keys)]
+        for row, start, end in zip(own[code], edges, edges[1:], strict=False):
+            if start < end:
+                known, values = arrays(row)
+                at = np.minimum(np.searchsorted(known, keys[start:end]), len(known) - 1)
+                if (known[at] != keys[start:end]).any():
+                    raise ValueError("a text has n-grams that were not counted")
+                logs[start:end] = values[at]
         return float(-(logs * times).sum() / times.sum())
 
     return score
@@ -237,11 +243,11 @@ def scorer(arrays: list[tuple[str, int, np.ndarray, np.ndarray]], order: int) ->
 
 def measured(docs: DataFrame, carry: tuple[str, ...] = (), order: int = ORDER) -> DataFrame:
     """The counts of BASE, base_failed, and log_ppl under the model of all `docs`."""
-    arrays = kneser_ney(gram_counts(docs, order), order)
-    shared = docs.sparkSession.sparkContext.broadcast(arrays)
+    folder, files = model_files(kneser_ney(gram_counts(docs, order), order))
+    shared = docs.sparkSession.sparkContext.broadcast(files)
 
     def start():
-        score = scorer(shared.value, order)
+        score = scorer(folder, shared.value, order)
 
         def one(text: str | None, lang: str | None) -> tuple:
             raw = (text or "").encode()
