@@ -260,32 +260,32 @@ def measured(docs: DataFrame, carry: tuple[str, ...] = (), order: int = ORDER) -
     return by_row(docs, ["text", "lang"], list(dict.fromkeys(["doc_id", "lang", *carry])), f"{BASE}, base_failed boolean, log_ppl double", start)
 
 
-def perplexity_bands(scored: DataFrame, width: float = 12.0, least_spread: float = 0.02) -> DataFrame:
+def perplexity_bands(scored: DataFrame, below: float = 2.0, above: float = 1.5, least_spread: float = 0.02) -> DataFrame:
     """lang, lower, upper: around the median log perplexity of a language's documents that pass the base rules.
 
-    The spread is that of a normal distribution with the same quartiles. The bands are wide: they are for gibberish, text in
-    quite another language and text that repeats itself, and leave odd but clean texts alone. Values are rounded to 0.001, so the exact
-    quartiles need a few thousand counters whatever the number of documents.
+    Each side has its own spread, that of a normal distribution with the same quartile on that side, and its own width: text
+    that repeats itself or is made of one symbol lies below, gibberish and text in quite another language above. Values are
+    rounded to 0.001, so the exact quartiles need a few thousand counters whatever the number of documents.
     """
     quartiles = F.percentile(F.round("log_ppl", 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     per_language = scored.where(~F.col("base_failed") & F.col("log_ppl").isNotNull()).groupBy(F.coalesce("lang", F.lit("")).alias("_lang")).agg(quartiles.alias("q"))
-    spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(least_spread))
-    return per_language.select("_lang", (F.col("q")[1] - width * spread).alias("lower"), (F.col("q")[1] + width * spread).alias("upper"))
+    lower, upper = (F.greatest((F.col("q")[k + 1] - F.col("q")[k]) / 0.6745, F.lit(least_spread)) for k in (0, 1))
+    return per_language.select("_lang", (F.col("q")[1] - below * lower).alias("lower"), (F.col("q")[1] + above * upper).alias("upper"))
 
 
-def quality_rules(docs: DataFrame, carry: tuple[str, ...] = (), width: float = 12.0, byte_sd: float = 1.2) -> DataFrame:
+def quality_rules(docs: DataFrame, carry: tuple[str, ...] = (), below: float = 2.0, above: float = 1.5, byte_sd: float = 1.2) -> DataFrame:
     """Base counts of every document and the verdict of language-specific perplexity bands.
 
     Returns doc_id, lang, the columns of BASE, base_failed, log_ppl, lower, upper, kept and the columns of `carry`, one row per input row.
     base_failed: fewer than 20 words, or over 30 % of the words in 8-word windows that recur in the text. kept: not
     base_failed, and log_ppl within its language's band, widened by the standard error of a text's mean
-    (byte_sd / sqrt(bytes)). Null or empty text has no words and fails; a null language is one language of its own;
+    (byte_sd / sqrt(bytes)); a text without a whole n-gram (zero bytes break them) is not kept. Null or empty text has no words and fails; a null language is one language of its own;
     repeated rows count and repeat.
     """
     scored = stored(measured(docs, carry), "quality")
-    bands = stored(perplexity_bands(scored, width), "bands")
+    bands = stored(perplexity_bands(scored, below, above), "bands")
     slack = byte_sd / F.sqrt(F.greatest(F.col("word_chars") + F.col("n_words"), F.lit(1)))
     within = F.col("log_ppl").between(F.col("lower") - slack, F.col("upper") + slack)
     joined = scored.withColumn("_lang", F.coalesce("lang", F.lit(""))).join(bands, "_lang", "left")
     names = [line.split()[0] for line in BASE.split(", ")]
-    return joined.select("doc_id", "lang", *names, "base_failed", "log_ppl", "lower", "upper", (~F.col("base_failed") & F.coalesce(within, F.lit(True))).alias("kept"), *(c for c in carry if c != "lang"))
+    return joined.select("doc_id", "lang", *names, "base_failed", "log_ppl", "lower", "upper", (~F.col("base_failed") & F.coalesce(within, F.lit(False))).alias("kept"), *(c for c in carry if c != "lang"))

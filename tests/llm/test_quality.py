@@ -1,8 +1,22 @@
-"""The model of the quality rules: files against the table."""
+"""The model of the quality rules: bands against labels, files against the table."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from grainmill.llm.quality import gram_counts, kneser_ney, language, model_files, scorer
+from grainmill.llm.quality import gram_counts, kneser_ney, language, model_files, quality_rules, scorer
+
+
+def test_bands_reject_bad_documents_and_keep_good_ones(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    found = quality_rules(docs.select("doc_id", "text", "lang")).where("not base_failed").join(labels, "doc_id")
+    counts = {r.quality: (r.n, r.gone) for r in found.groupBy("quality").agg(F.count("*").alias("n"), F.sum((~F.col("kept")).cast("int")).alias("gone")).collect()}
+    assert 3 * counts[0][1] >= counts[0][0] and 20 * counts[1][1] <= counts[1][0]
+
+
+def test_text_without_a_whole_gram_is_not_kept(docs):
+    texts = [(k, " ".join(f"word{(k * j) % 7} and more" for j in range(20))) for k in range(10)]
+    found = {r.doc_id: r for r in quality_rules(docs([*texts, (99, " ".join("a\0" for _ in range(8)) + " " + " ".join(f"{k}\0" for k in range(30)))])).collect()}
+    assert not found[99].base_failed and found[99].log_ppl is None and not found[99].kept
 
 
 def test_scores_from_files_equal_the_table(spark):
