@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from grainmill.llm.common import read, stored
 from grainmill.llm.decontaminate import decontaminate
 from grainmill.llm.line_dedup import line_dedup
-from grainmill.llm.near_dedup import near_dedup
+from grainmill.llm.near_dedup import near_kept
 from grainmill.llm.packing import pack
 from grainmill.llm.quality import quality_rules
 
@@ -36,12 +36,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates (five-word shingles, similarity of 0.8 or more) the document with the smallest
-    doc_id stays; of rows that repeat a doc_id, one."""
+    """Of each component of near duplicates (five-word shingles, similarity of 0.8 or more) the row with the smallest doc_id
+    stays, null last; every row that is linked with no other stays, whatever its doc_id."""
     _settings(spark)
-    kept = near_dedup(docs, size=5, percent=80).where("kept").select("doc_id").distinct()
-    one = docs.select(*COLUMNS).dropDuplicates(["doc_id"])
-    return one.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))).select(*(F.col(f"d.{c}") for c in COLUMNS))
+    return near_kept(docs.select(*COLUMNS), size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import stored, travels
+from grainmill.llm.common import BLANKS, stored, travels
 
 travels(__name__)
 
@@ -82,8 +82,13 @@ def signature(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
     return keys[:HALVES], keys[HALVES:], [*bits.tolist(), *odds.tolist()]
 
 
+def row_id() -> Column:
+    """Names a row by doc_id and text: rows alike in both are alike in everything that follows."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, node (set id; null: no words), u, v and the words of the sketch."""
+    """doc_id, row_id, n_shingles, node (set id; null: no words), u, v and the words of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = np.zeros(0, dtype=np.int64)
@@ -99,12 +104,12 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 bits.append(b)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(us, longs), pa.array(vs, longs), *(pa.array([b[k] for b in bits], pa.int64()) for k in range(len(SKETCH)))],
-                names=["doc_id", "n_shingles", "node", "u", "v", *SKETCH],
+                [batch.column("doc_id"), batch.column("row_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(us, longs), pa.array(vs, longs), *(pa.array([b[k] for b in bits], pa.int64()) for k in range(len(SKETCH)))],
+                names=["doc_id", "row_id", "n_shingles", "node", "u", "v", *SKETCH],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint, u array<bigint>, v array<bigint>, " + ", ".join(f"{b} bigint" for b in SKETCH))
+    return docs.select("doc_id", row_id().alias("row_id"), "text").mapInArrow(run, f"doc_id {kind}, row_id bigint, n_shingles bigint, node bigint, u array<bigint>, v array<bigint>, " + ", ".join(f"{b} bigint" for b in SKETCH))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -118,7 +123,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
         def found(side: int, node: int, text: str) -> np.ndarray | None:
             if last[side][0] != node:  # rows come in the order of b
                 own = shingles(text, size)
-                if set_id(own) != node:  # another text with the same doc_id
+                if set_id(own) != node:  # another text with the same row_id
                     return None
                 last[side] = node, own
             return last[side][1]
@@ -166,21 +171,13 @@ def rooted(table: DataFrame, roots: DataFrame | None, node: str, name: str) -> D
     return table.join(found, node, "left").withColumn(name, F.coalesce("_root", node)).drop("_root")
 
 
-def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Components of documents linked by a Jaccard similarity of at least `percent` / 100 of their `size`-word shingles.
-
-    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (doc_id = component_id), one row per
-    input row. Texts with one shingle set are one class, and only classes are compared; a class meets others through the
-    smallest class of each bucket first, then classes of different components in one bucket meet each other, so no
-    link between candidates is lost and a group of n near copies costs about n comparisons. Null, empty and wordless
-    texts have no shingles and are linked with nothing. Repeated rows are copies. A null doc_id takes part; it is never
-    a component_id unless all of its component are null. Shingles are compared by 64-bit hashes.
-    """
+def grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of the rows, and node, head, root of every class: its first row by (doc_id, row_id), nulls last, and its component."""
     # The 64-bit id of a set stands for it; the first document of a class stands for its text.
     marks = stored(signatures(docs, size), "signatures")
     worded = marks.where("node is not null")
-    firsts = worded.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first(F.struct("n_shingles", "u", "v", *SKETCH)).alias("s"))
-    classes = stored(firsts.select("node", "doc", "s.*"), "classes")
+    firsts = worded.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("head"), F.first(F.struct("n_shingles", "u", "v", *SKETCH)).alias("s"))
+    classes = stored(firsts.select("node", "head", "s.*"), "classes")
     keys = classes.select("node", F.explode("u").alias("u"), "v").select("node", "u", F.explode("v").alias("v")).select(F.xxhash64("u", "v").alias("key"), "node")
     shared = stored(keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key", "first"), "buckets")
     members = stored(keys.join(shared, "key"), "members")
@@ -201,8 +198,8 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     met = members.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     through = stored(met.join(side(classes, "a"), "a").join(side(classes, "b"), "b").where(plausible).select("a", "b"), "pairs")
     # All nodes that can be in a comparison are in a shared bucket; only their texts are moved.
-    wanted = members.select("node").distinct().join(classes.select("node", "doc"), "node")
-    texts = stored(docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("doc"))).select("node", "text"), "texts")
+    wanted = members.select("node").distinct().join(classes.select("node", F.col("head.row_id").alias("row_id")), "node")
+    texts = stored(docs.select(row_id().alias("row_id"), "text").join(wanted, "row_id").dropDuplicates(["row_id", "node"]).select("node", "text"), "texts")
 
     nearest = through.groupBy("a").agg(F.min("b").alias("b"))
     links = stored(confirmed(nearest, texts, size, percent), "confirmed")
@@ -221,9 +218,34 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     links = links.unionAll(stored(confirmed(cross.join(tried, ["a", "b"], "left_anti"), texts, size, percent), "confirmed"))
     roots = components(links)
 
-    grouped = rooted(classes.select("node", "doc"), roots, "node", "root")
-    heads = stored(grouped.groupBy("root").agg(F.min("doc").alias("component_id")), "heads")
-    final = stored(grouped.join(heads, "root").select("node", "component_id"), "components")
-    named = worded.select("doc_id", "n_shingles", "node").join(final, "node").select("doc_id", "n_shingles", "component_id")
+    return marks, stored(rooted(classes.select("node", "head"), roots, "node", "root"), "grouped")
+
+
+def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Components of documents linked by a Jaccard similarity of at least `percent` / 100 of their `size`-word shingles.
+
+    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (doc_id = component_id), one row per
+    input row. Texts with one shingle set are one class, and only classes are compared; a class meets others through the
+    smallest class of each bucket first, then classes of different components in one bucket meet each other, so no
+    link between candidates is lost and a group of n near copies costs about n comparisons. Null, empty and wordless
+    texts have no shingles and are linked with nothing. Repeated rows are copies. A null doc_id takes part; it is never
+    a component_id unless all of its component are null. Shingles are compared by 64-bit hashes.
+    """
+    marks, classes = grouped(docs, size, percent)
+    heads = stored(classes.groupBy("root").agg(F.min("head.doc_id").alias("component_id")), "heads")
+    final = stored(classes.join(heads, "root").select("node", "component_id"), "components")
+    named = marks.where("node is not null").select("doc_id", "n_shingles", "node").join(final, "node").select("doc_id", "n_shingles", "component_id")
     wordless = marks.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return named.unionAll(wordless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_kept(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` that stay: of each component of near_dedup the first by (doc_id, row_id), null ids last, and all wordless rows.
+
+    Of rows alike in doc_id and text one stays. Rows with one doc_id, or none, and texts that are not linked all stay.
+    """
+    _, classes = grouped(docs, size, percent)
+    heads = stored(classes.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.row_id").alias("_row")), "heads")
+    rows = docs.withColumn("_row", row_id())
+    worded = rows.join(heads, "_row").dropDuplicates(["_row"]).select(*docs.columns)
+    return worded.unionAll(docs.where(F.btrim(F.coalesce("text", F.lit("")), F.lit(BLANKS)) == ""))
