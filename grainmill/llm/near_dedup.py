@@ -26,6 +26,8 @@ HALVES, WIDTH = 12, 3
 WORDS = 8
 #: As many of them may differ between candidates: 5.5 standard deviations over the mean at a similarity of 0.8.
 MAX_BITS = 89
+#: HALVES, WIDTH and MAX_BITS are made for this similarity in percent; below it they would lose links.
+LEAST_PERCENT = 80
 #: Parities of a set, in words of 64: whether each of 512 equal classes of hashes has an odd number of shingles. Two sets differ in
 #: at most as many parities as shingles, so this test, sharpest for sets of a few hundred shingles, never loses a link.
 ODD_WORDS = 8
@@ -173,6 +175,8 @@ def rooted(table: DataFrame, roots: DataFrame | None, node: str, name: str) -> D
 
 def grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The signatures of the rows, and node, head, root of every class: its first row by (doc_id, row_id), nulls last, and its component."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent is {percent}; the tables and bit tests find links from {LEAST_PERCENT} to 100")
     # The 64-bit id of a set stands for it; the first document of a class stands for its text.
     marks = stored(signatures(docs, size), "signatures")
     worded = marks.where("node is not null")
@@ -230,6 +234,7 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     link between candidates is lost and a group of n near copies costs about n comparisons. Null, empty and wordless
     texts have no shingles and are linked with nothing. Repeated rows are copies. A null doc_id takes part; it is never
     a component_id unless all of its component are null. Shingles are compared by 64-bit hashes.
+    A percent below LEAST_PERCENT is refused.
     """
     marks, classes = grouped(docs, size, percent)
     heads = stored(classes.groupBy("root").agg(F.min("head.doc_id").alias("component_id")), "heads")

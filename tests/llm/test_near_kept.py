@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from corpus_pipeline import COLUMNS, near_duplicates
 from grainmill.llm import near_dedup as near
 
@@ -38,3 +40,9 @@ def test_stage_against_all_pairs(spark, docs):
     assert len(found) == len(set(group)) == len(left)
     assert all((own[0][0] is None, own[0][0] or 0) == least[g] for g, own in left.items())
     assert sum(i is None for i, _ in found) >= 4
+
+
+def test_percent_beyond_the_constants_is_refused(docs):
+    for percent in (50, 65, 79, 101):
+        with pytest.raises(ValueError):
+            near.near_dedup(docs([(1, "a b c")]), percent=percent)
