@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm.common import by_row, stored, travels
-from grainmill.llm.license_texts import KNOWN
+from grainmill.llm.license_digests import DIGESTS
+from grainmill.llm.license_texts import KNOWN, NAMES, SPDX, STARTS, TAILS
 
 travels(__name__)
 
+#: Paragraphs in a run that is looked up as one block.
+RUN = 8
+
 # Spellings that licence matching treats alike, in the canonical form on the right.
 EQUIVALENT = {
     b"licence": b"license", b"licences": b"licenses", b"licenced": b"licensed", b"licencing": b"licensing", b"sublicence": b"sublicense",
@@ -54,32 +58,64 @@ def digest(text: str | None) -> tuple[int, str]:
     return words.count(b" ") + 1 if words else 0, hashlib.sha256(words).hexdigest()
 
 
+def blocks(text: str | None) -> list[bytes]:
+    """Half digests of the text's lines, paragraphs, and runs of two to RUN paragraphs, each once.
+
+    Paragraphs end at lines without canonical words, such as blank lines, bare comment marks and copyright lines.
+    """
+    lines = [canonical(line) for line in (text or "").split("\n")]
+    paragraphs: list[list[bytes]] = [[]]
+    for line in lines:
+        if line:
+            paragraphs[-1].append(line)
+        elif paragraphs[-1]:
+            paragraphs.append([])
+    whole = [b" ".join(p) for p in paragraphs if p]
+    found = [hashlib.sha256(line).digest()[:16] for line in lines if line]
+    for k in range(len(whole)):
+        run = hashlib.sha256(whole[k])
+        found.append(run.digest()[:16])
+        for more in whole[k + 1 : k + RUN]:
+            run.update(b" " + more)
+            found.append(run.digest()[:16])
+    return list(dict.fromkeys(found))
+
+
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
     """digest, license_id of the given (license_id, text) rows, or of the built-in texts; the smallest id where two agree."""
-    texts = known if known is not None else spark.createDataFrame(KNOWN, "license_id string, text string")
-    made = by_row(texts, ["text"], ["license_id"], "n_words bigint, digest string", lambda: digest)
-    return made.where("n_words > 0 and license_id is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    texts = known
+    if known is None:
+        names = spark.createDataFrame([(i, name) for i, own in NAMES.items() for name in own], "license_id string, name string")
+        starts, tails = (spark.createDataFrame([(x,) for x in part], f"{name} string") for name, part in (("start", STARTS), ("tail", TAILS)))
+        notices = names.crossJoin(starts).crossJoin(tails).select("license_id", F.concat("start", "name", "tail").alias("text"))
+        texts = spark.createDataFrame([*KNOWN, *SPDX], "license_id string, text string").unionAll(notices)
+    made = by_row(texts, ["text"], ["license_id"], "n_words bigint, digest string", lambda: digest).where("n_words > 0 and license_id is not null").select("digest", "license_id")
+    if known is None:
+        made = made.unionAll(spark.createDataFrame([(d, i) for i, d in DIGESTS], "digest string, license_id string"))
+    return made.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Look up the canonical digest of each whole text, and of each of its lines, among known licences.
+    """Look up the canonical digest of each whole text, and of each of its lines, paragraphs and runs of paragraphs, among known licences.
 
     Returns doc_id, n_words (of the canonical text), digest, license_id (null: no known licence), notice_ids (licences
-    whose known text is a line of a text with this doc_id, sorted), one row per input row. Null, empty and wordless texts
+    whose known text is a line, a paragraph or up to RUN paragraphs of a text with this doc_id, sorted), one row per input row. Null, empty and wordless texts
     have no words, the digest of nothing and no licence. Repeated rows repeat; other columns are ignored.
     """
     table = stored(known_digests(docs.sparkSession, known), "licenses")
+    if known is None:  # some ten thousand rows, whatever the documents
+        table = F.broadcast(table)
 
     def start():
         def one(text: str | None) -> tuple:
-            # Half of a line's digest finds it; the digests of whole texts are joined whole.
-            found = (digest(line) for line in (text or "").split("\n"))
-            return *digest(text), list(dict.fromkeys(bytes.fromhex(d[:32]) for n, d in found if n))
+            # Half of a block's digest finds it; the digests of whole texts are joined whole.
+            return *digest(text), blocks(text)
 
         return one
 
     scanned = stored(by_row(docs, ["text"], ["doc_id"], "n_words bigint, digest string, lines array<binary>", start), "digests")
-    lines = scanned.select("doc_id", F.explode("lines").alias("line")).join(table.select(F.unhex(F.substring("digest", 1, 32)).alias("line"), "license_id"), "line")
+    half = table.select(F.unhex(F.substring("digest", 1, 32)).alias("line"), "license_id")
+    lines = scanned.select("doc_id", F.explode("lines").alias("line")).join(half, "line")
     notices = lines.groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_set("license_id")).alias("notice_ids"))
     whole = scanned.join(table, "digest", "left").join(notices, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
     return whole.select("doc_id", "n_words", "digest", "license_id", F.coalesce("notice_ids", F.array().cast("array<string>")).alias("notice_ids"))
