@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from grainmill.llm.common import read
 from grainmill.llm.decontaminate import decontaminate
+from grainmill.llm.hard_negatives import hard_negatives
 from grainmill.llm.licenses import license_scan
 from grainmill.llm.line_dedup import line_dedup
 from grainmill.llm.main_text import extract
@@ -117,3 +118,19 @@ from j group by doc_id"""
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup(read(spark, sf_dir, "documents", "doc_id", "text"), min_chars=10, min_docs=2)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+_OP13_SQL = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) q from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id a, b.vec_id b, a.label = b.label same, cast(list_inner_product(a.q, b.q) as bigint) s from v a, v b where a.vec_id % 50 = 0),
+p as (select a, b p, s ps from s where same and a is distinct from b qualify row_number() over (partition by a order by s desc, b) <= 5),
+n as (select p.a, p, ps, b n, s ns, row_number() over (partition by p.a, p order by s desc, b) rank from p join s on s.a = p.a and not same and 50 * ps <= 100 * s and 100 * s <= 95 * ps)
+select a anchor_id, p positive_id, cast(rank as int) rank, n negative_id, ps positive_score, ns negative_score from n where rank <= 3"""
+
+
+@query("op13_hard_negatives", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    changed = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(changed, anchor=lambda i: i % 50 == 0)
