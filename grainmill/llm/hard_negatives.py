@@ -11,9 +11,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainmill.llm.best import FOUND, Best, firsts, listed
 from grainmill.llm.common import stored, travels
 
 travels(__name__)
@@ -81,27 +82,6 @@ def blocks_of(anchors: np.ndarray, centres: np.ndarray) -> list[tuple[np.ndarray
     return found
 
 
-class Best:
-    """The first k entries of each row by score, highest first, ties by smaller id, null ids last."""
-
-    def __init__(self, rows: int, k: int):
-        self.k = k
-        self.entries = [np.zeros(0, dtype=np.int64) for _ in range(4)]  # row, score, no id, id
-        self.least = np.full(rows, -np.inf)
-
-    def add(self, *new: np.ndarray) -> None:
-        if not len(new[0]):
-            return
-        row, score, missing, ids = (np.concatenate([old, more.astype(np.int64)]) for old, more in zip(self.entries, new, strict=True))
-        order = np.lexsort((ids, missing, -score, row))
-        row = row[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        kept = order[place < self.k]
-        self.entries = [row[place < self.k], score[kept], missing[kept], ids[kept]]
-        last = place == self.k - 1
-        self.least[row[last]] = score[order[last]]
-
-
 def walked(slice_: tuple[np.ndarray, ...], anchors: np.ndarray, blocks: list, least: Callable[[np.ndarray], np.ndarray], found: Callable[..., None]) -> None:
     """Walk each block's list of the slice. least(rows of anchors): scores that a candidate must reach to matter;
     found(rows of anchors, scores, label, no id, id): takes a step's exact scores."""
@@ -142,25 +122,6 @@ def sliced(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.nda
         yield joined()
 
 
-def listed(best: Best, width: int) -> Iterator[pa.RecordBatch]:
-    """What a task found: a (anchor's row), slot, score, id."""
-    row, score, missing, ids = best.entries
-    for at in range(0, len(row), 65536):
-        cut = slice(at, at + 65536)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(row[cut] // width), pa.array(row[cut] % width), pa.array(score[cut]), pa.array(ids[cut], mask=missing[cut].astype(bool))], names=["a", "slot", "score", "id"]
-        )
-
-
-FOUND = "a bigint, slot bigint, score bigint, id bigint"
-
-
-def firsts(found: DataFrame, k: int) -> DataFrame:
-    """The first k of each (a, slot) over all tasks, with their place."""
-    order = Window.partitionBy("a", "slot").orderBy(F.desc("score"), F.asc_nulls_last("id"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def hard_negatives(
     vectors: DataFrame, anchor: Callable[[Column], Column], id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
     scale: int = 256, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95,
@@ -211,7 +172,7 @@ def _round(rows: DataFrame, anchors: DataFrame, dim: int, centres: np.ndarray, p
 
         for part in sliced(batches, dim) if blocks else ():
             walked(part, a, blocks, lambda own: best.least[own], found)
-        yield from listed(best, 1)
+        yield from listed(best)
 
     first = stored(firsts(rows.mapInArrow(nearest, FOUND), positives).select("a", (F.col("rank") - 1).alias("slot"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
     known = first.select("a", "slot", "positive_score").toArrow()  # `positives` for each anchor of the round

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from grainmill.llm.common import read
 from grainmill.llm.decontaminate import decontaminate
 from grainmill.llm.hard_negatives import hard_negatives
+from grainmill.llm.lexical_search import lexical_search
 from grainmill.llm.licenses import license_scan
 from grainmill.llm.line_dedup import line_dedup
 from grainmill.llm.main_text import extract
 from grainmill.llm.near_dedup import near_dedup
 from grainmill.llm.packing import pack
 from grainmill.llm.quality import quality_rules
+from grainmill.llm.quality_classifier import quality_scores
 from grainmill.llm.substring_dedup import substring_dedup
 from grainmill.llm.token_files import token_files
 from grainmill.llm.toxicity import toxicity
@@ -120,6 +122,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+_OP11_TERMS = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_OP11_SQL = f"""
+with d as (select row_number() over () r, doc_id, {_OP11_TERMS} w from documents where text is not null), s as (select count(*) n, sum(len(w)) l from d where len(w) > 0),
+i as (select item_id, unnest({_OP11_TERMS}) t from benchmark), q as (select item_id, t, count(*) c from i group by all),
+f as (select r, t, count(*) tf from (select r, unnest(w) t from d) where t in (select t from i) group by all),
+df as (select t, cast(floor(1000 * ln((2.0 * any_value(n) + 2) / (2 * count(*) + 1))) as bigint) w from f, s group by t),
+p as (select doc_id, r, t, df.w * (1000000000 * tf // (1000 * tf + 8 * (25 + (75 * len(d.w) * n) // l))) v from f join df using (t) join d using (r), s),
+x as (select item_id, r, doc_id, cast(sum(c * v) as bigint) score from q join p using (t) group by all having sum(c * v) > 0)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) rank, doc_id, score from x
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 10"""
+
+
+@query("op11_lexical_search", _OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"), k=10)
+
+
 _OP13_SQL = """
 with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) q from embeddings
   where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
@@ -134,3 +153,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
     changed = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
     return hard_negatives(changed, anchor=lambda i: i % 50 == 0)
+
+
+@query("op12_quality_classifier")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "quality"))
