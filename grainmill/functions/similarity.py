@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -51,20 +52,21 @@ def _shared_letters(length: Column, other: Column, min_ratio: float) -> Column:
     return F.ceil((length + other) * F.lit(min_ratio / 2) - F.lit(1e-9)).cast("int")
 
 
-def similar_pairs(sources: DataFrame, candidates: DataFrame, min_ratio: float) -> DataFrame:
+def similar_pairs(sources: DataFrame, candidates: DataFrame, min_ratio: float, within: Sequence[str] = ()) -> DataFrame:
     """Every (source_key, candidate_key, ratio) with ratio >= min_ratio and keys that differ.
 
-    Both inputs have one distinct `key` column of two or more characters; min_ratio is over 0. Matched characters are
+    Both inputs have one distinct `key` column, not empty; min_ratio is over 0. With `within`, both also have those columns,
+    keys are distinct for them, and only keys that agree in them are paired. Matched characters are
     letters that both keys have, so two keys this close share a computable number of numbered letters; with letters
     ordered from rare to common, they share one within a computable prefix. Keys are joined on such a letter and on the
     candidate's length, which finds every pair at any ratio without comparing all with all.
     """
     shortest = min_ratio / (2 - min_ratio)
-    letters = {side: keys.select("key", F.explode(_numbered_letters(F.col("key"))).alias("letter")) for side, keys in (("s", sources), ("c", candidates))}
+    letters = {side: keys.select(*within, "key", F.explode(_numbered_letters(F.col("key"))).alias("letter")) for side, keys in (("s", sources), ("c", candidates))}
     counts = letters["s"].select("letter").unionAll(letters["c"].select("letter")).groupBy("letter").agg(F.count("*").alias("uses"))
 
     def ordered(side: str) -> DataFrame:
-        return letters[side].join(counts, "letter").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("uses", "letter"))).alias("letters"))
+        return letters[side].join(counts, "letter").groupBy(*within, "key").agg(F.array_sort(F.collect_list(F.struct("uses", "letter"))).alias("letters"))
 
     def prefix(shared: Column) -> Column:
         return F.slice("letters", F.lit(1), F.greatest(F.lit(1), F.length("key") - shared + 1).cast("int"))["letter"]
@@ -74,20 +76,20 @@ def similar_pairs(sources: DataFrame, candidates: DataFrame, min_ratio: float) -
     most = F.floor(size / F.lit(shortest) + F.lit(1e-9)).cast("int")
     left = (
         ordered("s").withColumn("length", F.explode(F.sequence(least, most)))
-        .select(F.col("key").alias("source_key"), "length", prefix(_shared_letters(size, F.col("length"), min_ratio)).alias("source_prefix"))
+        .select(*within, F.col("key").alias("source_key"), "length", prefix(_shared_letters(size, F.col("length"), min_ratio)).alias("source_prefix"))
         .withColumn("letter", F.explode("source_prefix"))
     )
     right = (
-        ordered("c").select(F.col("key").alias("candidate_key"), size.alias("length"), prefix(_shared_letters(size, least, min_ratio)).alias("candidate_prefix"))
+        ordered("c").select(*within, F.col("key").alias("candidate_key"), size.alias("length"), prefix(_shared_letters(size, least, min_ratio)).alias("candidate_prefix"))
         .withColumn("letter", F.explode("candidate_prefix"))
     )
     source, candidate = F.col("source_key"), F.col("candidate_key")
     # Two keys meet once per common letter; only the meeting on the first common one counts.
     first_common = F.get(F.array_intersect("source_prefix", "candidate_prefix"), F.lit(0))
     found = (
-        left.join(right, ["letter", "length"])
+        left.join(right, [*within, "letter", "length"])
         .where((source != candidate) & (F.col("letter") == first_common))
         .where(edit_filter(source, candidate, min_ratio))
-        .select("source_key", "candidate_key")
+        .select(*within, "source_key", "candidate_key")
     )
     return found.withColumn("ratio", similarity_ratio(source, candidate)).where(F.col("ratio") >= F.lit(min_ratio))

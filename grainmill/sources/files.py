@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import csv
-import json
+import re
 from collections import Counter
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,32 +92,65 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def _is_json_lines(spark: SparkSession, path: str) -> bool:
-    """Whether the file has one whole object on its first line and more lines after it."""
-    head = [r["value"] for r in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
-    if len(head) < 2 or not head[0].lstrip("\ufeff ").startswith("{"):
-        return False
-    try:
-        return isinstance(json.loads(head[0].lstrip("\ufeff ")), dict)
-    except ValueError:
-        return False
+def _json_kinds(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of a path by what their first line that is not blank says: `lines` (a whole object, and more lines after it),
+    `list` or `object`. One pass over the text; each file gives one row."""
+    read = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    read, place = read.where(F.trim("value") != ""), F.struct("file_block_start", "row")
+    files = read.groupBy("file_path").agg(F.min_by(F.regexp_replace("value", r"^[\ufeff\s]+", ""), place).alias("head"), F.count("*").alias("lines"))
+    one_object = (F.col("lines") > 1) & F.json_object_keys("head").isNotNull()
+    kind = F.when(F.col("head").startswith("["), "list").when(one_object, "lines").otherwise("object")
+    found: dict[str, list[str]] = {}
+    for row in files.select("file_path", kind.alias("kind")).orderBy("file_path").collect():  # file names, as the reader lists them
+        found.setdefault(row["kind"], []).append(re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(row["file_path"])))
+    return found
+
+
+def _stacked(frames: list[DataFrame]) -> DataFrame:
+    """Rows of all frames. A column whose types differ becomes text, unless all are numbers."""
+    types: dict[str, set] = {}
+    for f in (f for df in frames for f in df.schema):
+        types.setdefault(f.name, set()).add(f.dataType)
+    mixed = {c for c, kinds in types.items() if len(kinds) > 1 and not all(isinstance(k, T.NumericType) for k in kinds)}
+    even = [df.select(*[quoted(c).cast("string").alias(c) if c in mixed else quoted(c) for c in df.columns]) for df in frames]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), even)
+
+
+def _objects(raw: DataFrame) -> list[DataFrame]:
+    """Rows of documents that are one object each: the list under the first record key a document has, else the lists of
+    all its keys side by side, else the object itself."""
+    arrays = {f.name: f.dataType for f in raw.schema if isinstance(f.dataType, T.ArrayType)}
+    keys = [k for k in RECORD_KEYS if k in arrays]
+    without, frames = F.lit(True), []
+    for key in keys:
+        if not isinstance(arrays[key].elementType, T.StructType):
+            raise ScanError(f"{key} is not a list of objects")
+        frames.append(flatten(raw.where(without).select(F.inline(quoted(key)))))
+        without &= quoted(key).isNull()
+    rest = raw.where(without).drop(*keys) if keys else raw
+    if not rest.columns or (keys and rest.isEmpty()):
+        return frames
+    if not keys and len(arrays) == len(raw.columns):
+        return [flatten(raw.select(F.inline(F.arrays_zip(*[quoted(c) for c in raw.columns]))))]
+    return [*frames, flatten(rest)]
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A list of objects, the list under a record key, one object of equally long lists, or JSON Lines.
-    In JSON Lines a line that is no object stops the read."""
-    if _is_json_lines(spark, path):
-        return guard(flatten(spark.read.option("mode", "FAILFAST").json(path)))
-    raw = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
-    arrays = {f.name: f.dataType for f in raw.schema if isinstance(f.dataType, T.ArrayType)}
-    for key in RECORD_KEYS:
-        if key in arrays:
-            if not isinstance(arrays[key].elementType, T.StructType):
-                raise ScanError(f"{key} is not a list of objects")
-            return guard(flatten(raw.select(F.inline(quoted(key)))))
-    if arrays and len(arrays) == len(raw.columns):
-        return guard(flatten(raw.select(F.inline(F.arrays_zip(*[quoted(c) for c in raw.columns])))))
-    return guard(flatten(raw))
+    """A list of objects, the list under a record key, one object of equally long lists, or JSON Lines; a folder may hold
+    files of every kind. In JSON Lines a line that is no object stops the read."""
+    kinds = _json_kinds(spark, path)
+    if not kinds:
+        raise ScanError("no JSON value found")
+    reader = spark.read.option("mode", "FAILFAST")
+    frames = []
+    for kind, own in kinds.items():
+        where = path if len(kinds) == 1 else own
+        if kind == "lines":
+            frames.append(flatten(reader.option("multiLine", False).json(where)))
+        else:
+            raw = reader.option("multiLine", True).json(where)
+            frames += [flatten(raw)] if kind == "list" else _objects(raw)
+    return guard(_stacked(frames))
 
 
 def guard(df: DataFrame) -> DataFrame:

@@ -20,6 +20,25 @@ def test_json_lines_keep_every_row(spark, tmp_path):
         files.read_json(spark, str(tmp_path / "c.json")).collect()
 
 
+def test_json_kinds_of_one_folder(spark, tmp_path):
+    folder = tmp_path / "mixed 1%.json"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"data": [{"k": 1, "v": {"w": "x"}}, {"k": 2}]}')
+    (folder / "b.json").write_text('\ufeff\n{"k": 3, "v": {"w": "z"}}\n{"k": 4}\n', encoding="utf-8")
+    (folder / "c.json").write_text('[\n{"k": 5, "data": [7]}]')
+    (folder / "d.json").write_text('{"k": 6}')
+    (folder / "e.json").write_text('{\n"data": []}')
+    got = files.read_json(spark, str(folder))
+    assert sorted(got.columns) == ["data", "k", "v.w"]
+    assert sorted((r["k"], r["v.w"], r["data"]) for r in got.collect()) == [(1, "x", None), (2, None, None), (3, "z", None), (4, None, None), (5, None, "[7]"), (6, None, None)]
+
+
+def test_json_documents_of_one_object_on_many_files(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"p{k}.json").write_text(f'{{"records": [{{"k": {k}}}]}}')
+    assert sorted(r.k for r in files.read_json(spark, str(tmp_path)).collect()) == [0, 1, 2]
+
+
 def test_quoted_line_breaks_through_the_public_reader(spark, tmp_path):
     (tmp_path / "a.csv").write_text('name,n\n"two\nlines",1\nplain,2\n')
     assert [r.name for r in files.read_dataset(spark, str(tmp_path / "a.csv"), multi_line=True).orderBy("n").collect()] == ["two\nlines", "plain"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions import vocabulary as V
 from grainmill.functions.text import normalize_name, padded
-from grainmill.operators import documents, invoices as inv_ops, phrases
+from grainmill.operators import documents, invoices as inv_ops, phrases, scoring
 from grainmill.sources import files
 from workload.base import invoices, on_invoices, on_sales, query, sales, sql_normal, table
 
@@ -75,6 +75,22 @@ def reading_lines(spark, sf_dir):
     return documents.reading_lines(_boxes(spark, sf_dir)).groupBy("page_id", "text").agg(F.count("*").alias("lines"))
 
 
+@query("jn8_line_accuracy", """
+select o_orderkey as doc_id, 4::bigint as expected_rows, n as proposed_rows, n as rows_found, round_even(n / 4 * 100, 1) as recall_pct, n - (o_custkey % 3 = 0)::int as exact_amounts,
+  round_even((n - (o_custkey % 3 = 0)::int) / 4 * 100, 1) as amount_accuracy_pct, 0::bigint as extra_rows,
+  round_even(o_custkey + 1.5 + (o_custkey % 3 = 0)::int + o_custkey + 2 + o_custkey % 90 + 10 + 7::double, 2) as expected_total,
+  round_even(o_custkey + 1.5 + (case when o_custkey + 2 >= 100 then o_custkey + 2 else 0 end) + o_custkey % 90 + 10::double, 2) as proposed_total
+from (select *, 2 + (o_custkey + 2 >= 100)::bigint as n from orders)
+""")
+def line_accuracy(spark, sf_dir):
+    """Lines read from the notebook pages against what was sold: misspelt names, one amount in three off, one line nobody wrote down."""
+    c = F.col("o_custkey")
+    lines = [("Pains", c + 1.5 + F.when(c % 3 == 0, 1).otherwise(0)), ("huille", c + 2), ("LAIT", c % 90 + 10), ("Zzyzx", F.lit(7))]
+    sold = F.array(*[F.struct(F.lit(k).alias("line_no"), F.lit(name).alias("product"), amount.cast("string").alias("amount")) for k, (name, amount) in enumerate(lines, 1)])
+    expected = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.inline(sold))
+    return scoring.accuracy(expected, documents.sale_lines(pages(spark, sf_dir), "doc_id", "text"))
+
+
 @query("doc5_document_batch", on_sales("""
 select 'sales.csv' as source, count(*) as suggested_rows from sales
 union all select 'notes', (select count(*) * 2 + count(*) filter (o_custkey + 2 >= 100) from orders)

@@ -33,14 +33,16 @@ def csv_scan(spark, sf_dir):
 
 @query("src2_json_scan", 'select o_orderkey, o_orderstatus as "customer.state", o_custkey as "customer.key", o_orderpriority as priority from orders')
 def json_scan(spark, sf_dir):
-    """Documents of about two thousand records under `data`, one document per file."""
+    """One folder of two kinds of file: documents of about two thousand records under `data`, and JSON Lines."""
     orders = table(spark, sf_dir, "orders")
     documents = orders.count() // 2000 + 1
     record = F.struct("o_orderkey", F.struct(F.col("o_orderstatus").alias("state"), F.col("o_custkey").alias("key")).alias("customer"), F.col("o_orderpriority").alias("priority"))
     bucket = F.pmod(F.xxhash64("o_orderkey"), F.lit(documents))
-    packed = orders.groupBy(bucket.alias("b")).agg(F.collect_list(record).alias("data")).select(F.to_json(F.struct("data")).alias("value"))
+    in_lines = F.col("o_orderkey") % 3 == 0
+    packed = orders.where(~in_lines).groupBy(bucket.alias("b")).agg(F.collect_list(record).alias("data")).select(F.to_json(F.struct("data")).alias("value"))
     path = scratch(spark, "orders") + ".json"
     packed.write.option("maxRecordsPerFile", 1).text(path)
+    orders.where(in_lines).select(F.to_json(record).alias("value")).write.mode("append").text(path)
     return files.read_dataset(spark, path)
 
 
