@@ -3,70 +3,32 @@
 from __future__ import annotations
 
 import math
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from grainmill.llm.common import by_row, travels
+from grainmill.llm.common import by_row, stored, travels
+from grainmill.llm.ngram_model import class_counts, distinct, fit_sample, found_in, labelled_texts, log_ratios, marks_of, remainder, rolled_ngrams
 
 travels(__name__)
 
 SIZES = (3, 4, 5)
-BUCKET_BITS = 18
 #: Labelled rows of each class at most, for fitting the weights. The log-count ratios are counted over all labelled rows.
 FIT_ROWS = 3000
-#: Buckets whose log-count ratio is nearer to 0 say too little to be features.
-LEAST_RATIO = 0.7
+#: N-grams whose log-count ratio is nearer to 0 say too little to be features.
+LEAST_RATIO = 1.5
 
 
 def features(text: str | None) -> np.ndarray:
-    """The hashed character n-grams of the lower-cased words, one blank between words and at both ends; each once."""
+    """Keys of the distinct character n-grams of the lower-cased words, one blank between words and at both ends, sorted."""
     joined = " " + " ".join((text or "").lower().split()) + " "
-    points = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
-    found = []
-    rolled = np.zeros(len(points), dtype=np.uint64)
-    for k in range(max(SIZES)):
-        n = len(points) - k
-        if n < 1:
-            break
-        rolled = (rolled[:n] + points[k:]) * np.uint64(0x9E3779B97F4A7C15)
-        rolled ^= rolled >> np.uint64(31)
-        if k + 1 in SIZES:
-            found.append((rolled * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
-    buckets = np.sort(np.concatenate([np.zeros(0, dtype=np.int32), *found]))
-    return buckets[np.concatenate([[True], buckets[1:] != buckets[:-1]])] if len(buckets) else buckets
-
-
-def held_out_remainder(doc_id: object) -> int | None:
-    return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % 4
-
-
-def class_counts(labelled: DataFrame) -> np.ndarray:
-    """Documents with each bucket, by class: an array [2, buckets], from (text, toxic) rows. Summed by Spark."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, 1 << BUCKET_BITS), dtype=np.int64)
-        for batch in batches:
-            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-                totals[toxic, features(text.as_py())] += 1
-        used = np.flatnonzero(totals.any(axis=0))
-        for at in range(0, len(used), 65536):
-            part = used[at : at + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(totals[0, part]), pa.array(totals[1, part])], names=["bucket", "clean", "toxic"])
-
-    summed = labelled.select("text", "toxic").mapInArrow(count, "bucket bigint, clean bigint, toxic bigint").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    table = summed.toPandas()  # at most 2**BUCKET_BITS rows
-    totals = np.zeros((2, 1 << BUCKET_BITS))
-    totals[0, table["bucket"]], totals[1, table["bucket"]] = table["clean"], table["toxic"]
-    return totals
-
-
-def fit(rows: list[tuple[np.ndarray, int]], ratio: np.ndarray, prior: float, rounds: int = 150, decay: float = 1e-4) -> np.ndarray:
-    """Weights of the buckets, already times their ratio, and last the bias. Logistic loss, Adam over all rows; the
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    return distinct(rolled_ngrams(points, SIZES))
+
+
+def fit(rows: list[tuple[np.ndarray, int]], ratio: np.ndarray, prior: float, rounds: int = 300, decay: float = 1e-3) -> np.ndarray:
+    """Weights of the features, already times their ratio, and last the bias. Logistic loss, Adam over all rows; the
     classes weigh as much as in the labels (`prior`: share of toxic rows there)."""
     labels = np.array([y for _, y in rows], dtype=float)
     flat = np.concatenate([x for x, _ in rows])
@@ -85,46 +47,29 @@ def fit(rows: list[tuple[np.ndarray, int]], ratio: np.ndarray, prior: float, rou
     return np.append(w * ratio, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndarray:
-    """Bucket weights and bias from the labelled documents whose crc32(doc_id) mod 4 is not 2.
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of n-grams, and their weights with the bias, from the labelled documents whose crc32(doc_id) mod 4 is not 2.
 
     Log-count ratios use all of them; the weights are fitted on at most `fit_rows` of each class, those with the
     smallest hash of the id. Labels of one doc_id that differ count as toxic; null labels are left out.
     Without both classes the result scores every text alike, by the share of toxic rows.
     """
-    spark = docs.sparkSession
-    used = (F.col("doc_id").isNotNull()) & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    marks = labels.where(used & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    totals = class_counts(docs.where(used).select("doc_id", "text").join(marks, "doc_id"))
-    by_class = {r[0]: r[1] for r in marks.groupBy("toxic").count().collect()}
+    marks = stored(marks_of(labels, "toxic", 4, 2), "marks")
+    by_class = {r[0]: r[1] for r in marks.groupBy("y").count().collect()}
     clean, toxic = by_class.get(0, 0), by_class.get(1, 0)
+    share = min(max(toxic / (clean + toxic) if clean + toxic else 0.0, 0.01), 0.99)
+    nothing = np.zeros(0, dtype=np.uint64), np.array([math.log(share / (1 - share))])
     if not clean or not toxic:
-        share = min(max(toxic / (clean + toxic) if clean + toxic else 0.0, 0.01), 0.99)
-        return np.append(np.zeros(1 << BUCKET_BITS), math.log(share / (1 - share)))
-    ratio = np.log((totals[1] + 1) / (toxic + 2)) - np.log((totals[0] + 1) / (clean + 2))
-    ratio[(totals.sum(axis=0) < 2) | (np.abs(ratio) < LEAST_RATIO)] = 0.0
-    # At most 2 * fit_rows ids and texts: the only rows that come to the driver.
-    chosen = [marks.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for c in (0, 1)]
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id")
-    useful = docs.sparkSession.sparkContext.broadcast(ratio != 0)
-
-    def start():
-        def one(text: str | None) -> tuple:
-            x = features(text)
-            return (x[useful.value[x]].tobytes(),)
-
-        return one
-
-    made = by_row(sample, ["text"], ["doc_id", "toxic"], "x binary", start)
-    rows = [(np.frombuffer(r["x"], dtype=np.int32), r["toxic"]) for r in made.orderBy("doc_id").collect()]
-    if len({y for _, y in rows}) < 2:
-        return np.append(np.zeros(len(ratio)), math.log(toxic / clean))
-    return fit(rows, ratio, toxic / (clean + toxic))
+        return nothing
+    counts = stored(class_counts(labelled_texts(docs, marks, 4, 2), features), "class-counts")
+    keys, ratios = log_ratios(counts, clean, toxic, LEAST_RATIO)
+    rows = fit_sample(docs, marks, keys, features, fit_rows)
+    return (keys, fit(rows, ratios, share)) if len({y for _, y in rows}) == 2 else nothing
 
 
-def classifier(weights: np.ndarray) -> Callable[[str | None], float]:
+def classifier(keys: np.ndarray, weights: np.ndarray) -> Callable[[str | None], float]:
     def score(text: str | None) -> float:
-        z = float(weights[features(text)].sum() + weights[-1])
+        z = float(weights[found_in(keys, features(text))].sum() + weights[-1])
         return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
     return score
@@ -134,16 +79,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_row
     """Score whole texts: doc_id, held_out, score in 0..1, predicted and the columns of `carry`, one row per input row.
 
     held_out: crc32(doc_id as text) mod 4 is 2; such rows never train; a null id is not held out and does not train.
-    Null and empty texts are scored by the blank alone. Only text enters a score. Repeated rows repeat.
+    Null and empty texts are scored by the blanks alone. Only text enters a score. Repeated rows repeat.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, fit_rows))
 
     def start():
-        score = classifier(shared.value)
+        score = classifier(*shared.value)
 
         def one(doc_id: object, text: str | None) -> tuple:
             p = score(text)
-            return held_out_remainder(doc_id) == 2, p, int(p >= threshold)
+            return remainder(doc_id, 4) == 2, p, int(p >= threshold)
 
         return one
 
