@@ -215,9 +215,12 @@ def grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     # Pairs of classes in one bucket, where they are not in one component yet.
     placed = rooted(members.select("key", "node"), roots, "node", "root")
     split = stored(placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key"), "split-buckets")
-    rest = stored(placed.join(split, "key").join(classes.select("node", *facts), "node"), "split-members")
-    apart = (F.col("key_a") == F.col("key_b")) & (F.col("root_a") < F.col("root_b")) & plausible
-    cross = side(rest, "a", "root", "key").join(side(rest, "b", "root", "key"), apart).select("a", "b").distinct()
+    rest = stored(placed.join(split, "key").join(classes.select("node", *facts, "u", "v"), "node"), "split-members")
+    # A pair is made in one bucket only, that of its first common half keys; this is looked at last, for the few plausible pairs.
+    home = F.col("key_a") == F.xxhash64(F.get(F.array_intersect("u_a", "u_b"), F.lit(0)), F.get(F.array_intersect("v_a", "v_b"), F.lit(0)))
+    apart = (F.col("key_a") == F.col("key_b")) & (F.col("root_a") < F.col("root_b")) & plausible & home
+    more = ["root", "key", "u", "v"]
+    cross = side(rest, "a", *more).join(side(rest, "b", *more), apart).select("a", "b").distinct()
     tried = through.select("a", "b").unionAll(through.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = links.unionAll(stored(confirmed(cross.join(tried, ["a", "b"], "left_anti"), texts, size, percent), "confirmed"))
     roots = components(links)
