@@ -52,7 +52,6 @@ def _measured(df: DataFrame) -> tuple[list[Column], dict[str, dict[str, Column]]
         measure(field.name, "trim", F.count_if(c != stripped))
         measure(field.name, "populated", F.count_if(filled))
         measure(field.name, "numbers", F.count(number))
-        measure(field.name, "unreadable", F.count_if(number.isNull()))
         measure(field.name, "dates", F.count(parse_local_date(c)))
         measure(field.name, "shaped", F.count_if(stripped.rlike(CLEANING_DATE_SHAPE)))
     return aggregates, handles
@@ -66,7 +65,7 @@ def suggest_cleaning(df: DataFrame, harmonised: bool = True) -> DataFrame:
     """
     aggregates, seen = _measured(df)
     sales = sales_roles(df.columns)
-    aggregates.append(F.count_if(sales_issue(df, sales)).alias("sales_issues"))
+    aggregates += [F.count_if(sales_issue(df, sales)).alias("sales_issues"), F.count("*").alias("rows")]
     sales_columns = set(sales.values())
     cells: list[Column] = []
 
@@ -99,7 +98,8 @@ def suggest_cleaning(df: DataFrame, harmonised: bool = True) -> DataFrame:
         numeric = enough & (rate(m["numbers"]) >= 0.80)
         if name not in sales_columns:
             suggest(f"convert_numeric::{name}", m["numbers"], numeric)
-            suggest(f"fill_median::{name}", m["unreadable"], numeric & (m["unreadable"] > 0))
+            unreadable = F.col("rows") - m["numbers"]
+            suggest(f"fill_median::{name}", unreadable, numeric & (unreadable > 0))
         hint = F.lit(roles.has_date_hint(name))
         dated = rate(m["dates"])
         is_date = enough & ~numeric & (hint | (rate(m["shaped"]) >= 0.75)) & ((dated >= 0.85) | (hint & (dated >= 0.60)))
@@ -217,7 +217,9 @@ def apply_cleaning(
             counts.append(totals(result))
             result = drop_duplicates(result.select(*[quoted(c) for c in visible]), order_by)
         elif fills is None:
-            # Fills touch one column each, so all their values come from the same state.
+            # Fills touch one column each, so all their values come from the same state: saved, since it is read by the
+            # sketch, the medians, the modes and the result.
+            result = saved(result)
             chosen = [a.partition("::") for a in selected if rank(a) == ACTION_ORDER["fill_mode"]]
             fills = {
                 **column_medians(result, {c: quoted(c) for kind, _, c in chosen if kind == "fill_median"}),

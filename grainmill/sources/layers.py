@@ -195,13 +195,49 @@ def layer_sizes(tables: DataFrame) -> DataFrame:
     return tables.groupBy("layer").agg(F.count("*").alias("tables"), F.sum("rows").alias("rows"))
 
 
+#: Rows up to which a page is found by sorting; before deeper pages the range of keys is narrowed to at most so many.
+SORTED_ROWS = 50_000
+#: Ranges that a round of narrowing counts, and keys that their bounds are drawn from, at most.
+KEY_RANGES, SAMPLED_KEYS = 64, 20_000
+
+
 def table_page(df: DataFrame, order_by: list[str], limit: int = 500, offset: int = 0) -> DataFrame:
-    """A page of a table with the total number of rows; 1 to 5000 rows per page."""
+    """A page of a table with the total number of rows; 1 to 5000 rows per page.
+
+    Near the start it is the head of a sort. For a deep page the first key is narrowed first: bounds from a sample of keys
+    are counted in one aggregate, the ranges that hold the page stay, and only their rows are sorted. The condition on the key
+    reaches the scan. NULL keys come first, as in a sort. A single key with more rows than that is sorted by the other keys.
+    """
     limit, offset = max(1, min(int(limit), 5000)), max(0, int(offset))
     total = df.agg(F.count("*")).scalar()
-    page = df.orderBy(*[quoted(c) for c in order_by]).offset(offset).limit(limit)
+    part, skipped = (df, 0) if offset + limit <= SORTED_ROWS else _key_range(df, order_by[0], offset, limit)
+    page = part.orderBy(*[quoted(c) for c in order_by]).offset(offset - skipped).limit(limit)
     return page.withColumn("total_rows", total)
 
 
+def _key_range(df: DataFrame, name: str, offset: int, limit: int) -> tuple[DataFrame, int]:
+    """The rows of a range of keys that hold the page, and how many rows come before the range."""
+    key, part, before = quoted(name), df, 0
+    rows = df.count()
+    while rows > SORTED_ROWS:
+        share = min(1.0, SAMPLED_KEYS / 2 / rows)
+        drawn = sorted(r[0] for r in part.select(key).where(key.isNotNull()).sample(share, seed=11).limit(SAMPLED_KEYS).distinct().collect())
+        bounds = sorted({drawn[len(drawn) * k // KEY_RANGES] for k in range(1, KEY_RANGES)}) if drawn else []
+        if not bounds:
+            break
+        below = part.agg(*[F.count_if(key.isNull() | (key < F.lit(b))).alias(f"n{k}") for k, b in enumerate(bounds)]).first()
+        low = [k for k in range(len(bounds)) if before + below[k] <= offset]
+        high = [k for k in range(len(bounds)) if before + below[k] >= offset + limit]
+        first, last = below[low[-1]] if low else 0, below[high[0]] if high else rows
+        if last - first >= rows:
+            break  # one key holds what is left
+        if low:
+            part = part.where(key >= F.lit(bounds[low[-1]]))
+        if high:
+            part = part.where(key.isNull() | (key < F.lit(bounds[high[0]]))) if not low else part.where(key < F.lit(bounds[high[0]]))
+        before, rows = before + first, last - first
+    return part, before
+
+
 def preview(df: DataFrame, order_by: list[str], limit: int = 12) -> DataFrame:
     return df.orderBy(*[quoted(c) for c in order_by]).limit(limit)

@@ -167,3 +167,12 @@ def sql_date(cell: str) -> str:
 def sql_normal(cell: str) -> str:
     """SQL for normalised text."""
     return f"trim(regexp_replace(lower(strip_accents({cell})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+def sql_label_map(table: str) -> str:
+    """SQL for the labels of the city column to rewrite: source, target, reason, rows."""
+    return f"""with c as (select trim(city) as v, count(*) as n from {table} where trim(city) <> '' group by 1), k as (select v, n, {sql_normal('v')} as key from c),
+l as (select key, first(v order by n desc, v) as leader from k group by 1)
+select v as source, case when leader <> v then leader when key in ('casa', 'casblanca') then 'Casablanca' when key = 'marrakesh' then 'Marrakech' else 'Fès' end as target,
+  case when leader <> v then 'spelling' else 'known' end as reason, n as "rows"
+from k join l using (key) where v not in ('Casablanca', 'Marrakech', 'Fès') and (leader <> v or (key in ('casa', 'casblanca', 'marrakesh', 'fes')))"""

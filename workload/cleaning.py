@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from grainmill.operators import cleaning, harmonise, sales as sales_ops
 from grainmill.plans import versions
 from grainmill.sources.layers import Project
-from workload.base import dirty, messy, on_messy, on_sales, query, sales, scratch, sql_date, sql_normal, sql_number, table
+from workload.base import dirty, messy, on_messy, on_sales, query, sales, scratch, sql_date, sql_label_map, sql_number, table
 
 DIRTY = ["order_id", "order_date", "city", "product", "category", "channel", "status", "quantity", "unit_price", "amount", "rating"]
 DUPLICATES = "(select count(*) from dirty) - (select count(*) from (select distinct * from dirty))"
@@ -36,24 +36,23 @@ SUGGESTED = " union all ".join([
 ])
 
 
-@query("sug1_suggestions", on_messy(f"select * from ({SUGGESTED}) where impact > 0"))
-def suggestions(spark, sf_dir):
-    return cleaning.suggest_cleaning(dirty(spark, sf_dir), harmonised=False).drop("position")
+SUGGESTED += f""" union all select 'harmonize_values::city', (select count(*) from dirty where city in (select source from ({sql_label_map('dirty')}))), 'fort'"""
 
 
-@query("sug1_with_labels")
-def suggestions_with_labels(spark, sf_dir):
-    return cleaning.suggest_cleaning(dirty(spark, sf_dir))
+@query("sug1_suggestions", on_messy(f"select * from ({SUGGESTED}) where impact > 0"))
+def suggestions(spark, sf_dir):
+    """All suggestions; their position is the order that the log of `fix0_log` shows."""
+    return cleaning.suggest_cleaning(dirty(spark, sf_dir)).drop("position")
 
 
 @query("sug2_convert_to_number", on_messy(f"select * from ({SUGGESTED}) where id like 'convert_numeric%' and impact > 0"))
 def suggest_numbers(spark, sf_dir):
-    return cleaning.suggest_cleaning(dirty(spark, sf_dir), harmonised=False).where("id like 'convert_numeric%'").drop("position")
+    return cleaning.suggest_cleaning(dirty(spark, sf_dir)).where("id like 'convert_numeric%'").drop("position")
 
 
 @query("sug3_convert_to_date", on_messy(f"select * from ({SUGGESTED}) where id like 'convert_date%' and impact > 0"))
 def suggest_dates(spark, sf_dir):
-    return cleaning.suggest_cleaning(dirty(spark, sf_dir), harmonised=False).where("id like 'convert_date%'").drop("position")
+    return cleaning.suggest_cleaning(dirty(spark, sf_dir)).where("id like 'convert_date%'").drop("position")
 
 
 @query("sug4_mode_fill", on_messy("""
@@ -61,12 +60,14 @@ select 'fill_mode::city' as id, count(*) as impact, 'conseille' as severity from
 """))
 def suggest_mode(spark, sf_dir):
     df = cleaning.normalize_blanks(dirty(spark, sf_dir))
-    return cleaning.suggest_cleaning(df, harmonised=False).where("id like 'fill_mode%'").drop("position")
+    return cleaning.suggest_cleaning(df).where("id like 'fill_mode%'").drop("position")
 
 
 # -- fixes ----------------------------------------------------------------------------------------------------
 
-STRIPPED = "stripped as (select distinct " + ", ".join(f"trim(case when trim({c}) <> '' then {c} end) as {c}" for c in DIRTY) + " from dirty)"
+CLEAN_TEXT = "trimmed as (select " + ", ".join(f"trim(case when trim({c}) <> '' then {c} end) as {c}" for c in DIRTY) + " from dirty)"
+STRIPPED = f"""{CLEAN_TEXT}, map as ({sql_label_map('trimmed')}),
+stripped as (select distinct {', '.join('coalesce(target, city) as city' if c == 'city' else c for c in DIRTY)} from trimmed left join map on source = city)"""
 TYPED = f"""typed as (select order_id, {sql_date('order_date')} as order_date, city, product, category, channel, status,
   {sql_number('quantity')} as quantity, {sql_number('unit_price')} as unit_price, {sql_number('amount')} as amount, {sql_number('rating')} as rating from stripped)"""
 
@@ -81,7 +82,7 @@ def ordered_fixes(spark, sf_dir):
     df = dirty(spark, sf_dir)
     actions = [
         "fill_mode::city", "fill_median::amount", "drop_duplicates", "convert_date::order_date", "convert_numeric::amount", "convert_numeric::quantity",
-        "convert_numeric::unit_price", "convert_numeric::rating", "strip_text", "normalize_blanks",
+        "convert_numeric::unit_price", "convert_numeric::rating", "harmonize_values::city", "strip_text", "normalize_blanks",
     ]
     cleaned, _ = cleaning.apply_cleaning(df, actions, allowed=actions)
     return cleaned.distinct()
@@ -156,16 +157,9 @@ def fix_harmonise(spark, sf_dir):
     return fixed.groupBy("city").agg(F.count("*").alias("rows"))
 
 
-@query("har1_label_map", on_messy(f"""
-with c as (select trim(city) as v, count(*) as n from dirty where trim(city) <> '' group by 1), k as (select v, n, {sql_normal('v')} as key from c),
-l as (select key, first(v order by n desc, v) as leader from k group by 1)
-select v as source, case when leader <> v then leader when key in ('casa', 'casblanca') then 'Casablanca' when key = 'marrakesh' then 'Marrakech' else 'Fès' end as target,
-  case when leader <> v then 'spelling' else 'known' end as reason, n as "rows"
-from k join l using (key) where v not in ('Casablanca', 'Marrakech', 'Fès') and (leader <> v or (key in ('casa', 'casblanca', 'marrakesh', 'fes')))
-"""))
+@query("har1_label_map", on_messy(sql_label_map("dirty")))
 def label_map(spark, sf_dir):
-    found = harmonise.harmonisation_map(dirty(spark, sf_dir), "city")
-    return found.where("reason <> 'similar'")
+    return harmonise.harmonisation_map(dirty(spark, sf_dir), "city")
 
 
 @query("har1_similar_labels")
@@ -253,6 +247,14 @@ def repair(spark, sf_dir):
     return sales_ops.repair_sales(sold(spark, sf_dir), flag="changed").drop("statut")
 
 
+@query("fix0_with_sales_repair", on_sales(REPAIRED.replace("select order_id, k, q1 as", "select order_id, k, statut, q1 as").replace("select order_id, k, statut", "select distinct order_id, k, statut").replace(", x or x8 as changed from r11", " from r11")))
+def fixes_with_repair(spark, sf_dir):
+    """Repair among the ordered steps: after the text steps, before duplicates go."""
+    actions = ["drop_duplicates", "repair_sales_metrics", "strip_text", "normalize_blanks"]
+    cleaned, _ = cleaning.apply_cleaning(sold(spark, sf_dir), actions, allowed=actions)
+    return cleaned
+
+
 # -- versions -----------------------------------------------------------------------------------------------------
 
 

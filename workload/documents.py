@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from grainmill.functions import vocabulary as V
@@ -67,12 +68,15 @@ def _boxes(spark, sf_dir):
 
 
 @query("doc4_reading_lines", """
-select conv_id as page_id, line as text, count(*) as lines from (
-  select conv_id, array_to_string(list_filter(string_split(unnest(string_split(text, chr(10))), ' '), lambda w: trim(w) <> ''), ' ') as line from conversations)
-where line <> '' group by 1, 2
+select conv_id as page_id, cast(row_number() over (partition by conv_id order by turn, r) as int) as place, line as text, 0.9::double as score from (
+  select conv_id, turn, r, array_to_string(list_filter(string_split(raw, ' '), lambda w: trim(w) <> ''), ' ') as line from (
+    select conv_id, turn, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as r from conversations))
+where line <> ''
 """)
 def reading_lines(spark, sf_dir):
-    return documents.reading_lines(_boxes(spark, sf_dir)).groupBy("page_id", "text").agg(F.count("*").alias("lines"))
+    """The lines of each page from top to bottom."""
+    order = Window.partitionBy("page_id").orderBy("island", "line")
+    return documents.reading_lines(_boxes(spark, sf_dir)).select("page_id", F.row_number().over(order).alias("place"), "text", "score")
 
 
 @query("jn8_line_accuracy", """
@@ -191,13 +195,27 @@ def invoice_review(spark, sf_dir):
     return inv_ops.invoice_review(inv_ops.invoice_finds(invoices(spark, sf_dir), "doc_id", "text"), "doc_id")
 
 
-@query("inv8_fields", f"""
-select o_orderkey as doc_id, f as field, case f when 'supplier' then concat(c_name, ' SARL') when 'invoice_number' then concat('FA-', o_orderkey) when 'invoice_date' then {DATE} else 'MAD' end as value,
-  'to_confirm' as status, 'normal' as review_priority {FACTS}, (select unnest(['supplier', 'invoice_number', 'invoice_date', 'currency']) as f)
-""")
+RAW_TOTAL = "replace(cast(cast(o_totalprice as decimal(18,2)) + o_custkey as varchar), '.', ',')"
+RAW_HT = "cast(cast(o_totalprice as decimal(18,2)) as varchar)"
+SHOWN = "strftime(o_orderdate, '%d/%m/%Y')"
+#: Field, value, what stood in the text, line it stood on.
+FOUND = [
+    ("supplier", "concat(c_name, ' SARL')", "concat(c_name, ' SARL')", "concat('Supplier: ', c_name, ' SARL')"),
+    ("invoice_number", "concat('FA-', o_orderkey)", "concat('FA-', o_orderkey)", "concat('Facture N° FA-', o_orderkey)"),
+    ("invoice_date", DATE, SHOWN, f"concat('Date de facture : ', {SHOWN})"),
+    ("subtotal_excluding_tax", f"cast({HT} as varchar)", RAW_HT, f"concat('Sous-total HT : ', {RAW_HT}, ' MAD')"),
+    ("vat_amount", "cast(o_custkey::double as varchar)", "concat(o_custkey, ',00')", "concat('TVA 20 % : ', o_custkey, ',00 MAD')"),
+    ("vat_rate", "'20.0'", "'20%'", "concat('TVA 20 % : ', o_custkey, ',00 MAD')"),
+    ("total_including_tax", f"cast({TOTAL} as varchar)", RAW_TOTAL, f"concat('TOTAL TTC : ', {RAW_TOTAL}, ' MAD')"),
+    ("currency", "'MAD'", "'MAD'", f"concat('TOTAL TTC : ', {RAW_TOTAL}, ' MAD')"),
+]
+
+
+@query("inv8_fields", " union all ".join(
+    f"select o_orderkey as doc_id, '{field}' as field, {value} as value, {raw} as raw_value, {CONFIDENCE[field]}::double as confidence, {line} as evidence, "
+    f"'to_confirm' as status, 'normal' as review_priority {FACTS}" for field, value, raw, line in FOUND))
 def invoice_fields(spark, sf_dir):
-    long = inv_ops.invoice_fields(inv_ops.invoice_finds(invoices(spark, sf_dir), "doc_id", "text"), "doc_id")
-    return long.where(F.col("field").isin("supplier", "invoice_number", "invoice_date", "currency")).select("doc_id", "field", "value", "status", "review_priority")
+    return inv_ops.invoice_fields(inv_ops.invoice_finds(invoices(spark, sf_dir), "doc_id", "text"), "doc_id")
 
 
 TABLE = f"""select o_orderkey as doc_id, concat(c_name, ' SARL') as fournisseur, concat('FA-', o_orderkey) as numero_facture, {DATE} as date_facture, {HT} as total_ht,
@@ -254,18 +272,20 @@ CATALOGUE = [("order_date", "date"), ("city", "category"), ("product", "category
 ALIASES = {"amount": ["chiffre d'affaires"]}
 
 
-def _match(name: str, kind: str) -> str:
+def _match(place: int, name: str, kind: str) -> str:
     shared = sorted(phrases.column_concepts(name, kind))
+    terms = [f"case when {_has('p', t)} then '{t.replace(chr(39), chr(39) * 2)}' end" for t in [name, *ALIASES.get(name, [])]] + [_first("p", V.BUSINESS_CONCEPTS[c]) for c in shared]
     cases = [f"when {_has('p', name)} then 1.0"]
     cases += [f"when {_has('p', a)} then 0.95" for a in ALIASES.get(name, [])]
     cases += [f"when {' or '.join(_has('p', t) for c in shared for t in V.BUSINESS_CONCEPTS[c])} then 0.85"] if shared else []
-    return f"select doc_id, '{name}' as column_name, '{kind}' as kind, (case {' '.join(cases)} end)::double as confidence from asked"
+    return f"select doc_id, {place} as place, '{name}' as column_name, '{kind}' as kind, (case {' '.join(cases)} end)::double as confidence, coalesce({', '.join(terms)}, null) as matched_term from asked"
 
 
-@query("txt2_resolve_columns", f"with {ASKED} select * from (" + " union all ".join(_match(n, k) for n, k in CATALOGUE) + ") where confidence is not null")
+@query("txt2_resolve_columns", f"""with {ASKED}
+select doc_id, column_name, kind, confidence, matched_term, cast(row_number() over (partition by doc_id order by confidence desc, place) as int) as rank from (
+""" + " union all ".join(_match(i, n, k) for i, (n, k) in enumerate(CATALOGUE)) + ") where confidence is not null")
 def resolve_columns(spark, sf_dir):
-    found = phrases.resolve_columns(_asked(spark, sf_dir), ["doc_id"], "text", CATALOGUE, ALIASES)
-    return found.select("doc_id", "column_name", "kind", "confidence")
+    return phrases.resolve_columns(_asked(spark, sf_dir), ["doc_id"], "text", CATALOGUE, ALIASES)
 
 
 def _choice(groups) -> str:

@@ -220,7 +220,8 @@ def replay(spark, sf_dir):
     return runs.select("trigger", F.col("rows.silver").alias("silver_rows"), F.size("gold_tables").alias("gold_tables"))
 
 
-@query("src9_run_journal")
+@query("src9_run_journal", """
+select 'manual' as trigger, 'success' as status, count(*) as silver, 100 as score, 3 as stages from customer""")
 def run_journal(spark, sf_dir):
     return _two_runs(spark, sf_dir).runs(limit=1).select("trigger", "status", "rows.silver", "quality.silver.score", F.size("stages").alias("stages"))
 
@@ -248,6 +249,15 @@ def page(spark, sf_dir):
     return layers.table_page(table(spark, sf_dir, "orders").select(*ORDER_COLUMNS.split(", ")), ["o_orderkey"], 50, 100)
 
 
+@query("prj2_deep_page", """
+select l_orderkey, l_partkey, l_suppkey, l_linenumber, (select count(*) from lineitem) as total_rows from lineitem
+order by l_orderkey, l_linenumber, l_partkey, l_suppkey limit 200 offset (select count(*) // 10 * 9 from lineitem)""")
+def deep_page(spark, sf_dir):
+    """Nine tenths into the line items; at most a range of keys is sorted."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    return layers.table_page(lines, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 200, lines.count() // 10 * 9)
+
+
 @query("prj3_rename_swap", "select o_custkey as o_orderkey, o_orderkey as o_custkey, o_orderstatus as statut from orders")
 def rename_swap(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from grainmill.operators import charts, cleaning, contract, profile, relabel, roles
 from grainmill.operators.harmonise import label_variants
-from workload.base import dirty, messy, on_messy, on_sales, query, sales, sql_date, sql_normal, sql_number, table
+from workload.base import dirty, messy, on_messy, on_sales, query, sales, sql_date, sql_label_map, sql_normal, sql_number, table
 
 AS_OF = dt.date(2026, 1, 1)
 DIRTY = ["order_id", "order_date", "city", "product", "category", "channel", "status", "quantity", "unit_price", "amount", "rating"]
@@ -174,8 +174,8 @@ def _rules(spark, sf_dir):
     return [r for r in contract.infer_contract(sales(spark, sf_dir)) if r.name in DIRTY]
 
 
-def _checks(spark, sf_dir, labels=False):
-    return contract.run_checks(dirty(spark, sf_dir), _rules(spark, sf_dir), AS_OF, labels=labels)
+def _checks(spark, sf_dir):
+    return contract.run_checks(dirty(spark, sf_dir), _rules(spark, sf_dir), AS_OF)
 
 
 def _check(name, column, rule, label, failing, total, detail, warn=0.0, severity="error", source="dirty"):
@@ -217,8 +217,16 @@ DATE_RANGE = _check("order_date.range", "order_date", "date_range", "plausible d
                     f"concat(({_count(LATE)}), ' future date(s), ', ({_count(OLD)}), ' before 2000')", severity="warning")
 UNIQUE = _check("order_id.unique", "order_id", "unique", "unique identifier", "select count(order_id) - count(distinct order_id) from dirty", _count(_populated("order_id")), "concat(f, ' repeated identifier(s)')")
 
+def _consistent(c, rows="0", examples="''"):
+    return _check(f"{c}.consistent", c, "consistent_labels", "consistent labels", rows, _count(_populated(c)), examples)
+
+
+# Labels of the city column to rewrite, as the label map finds them.
+VARIANTS = f"(select source, target, \"rows\" from ({sql_label_map('dirty')}))"
+CITIES = _consistent("city", f"select coalesce(sum(\"rows\"), 0) from {VARIANTS}",
+                     f"(select string_agg(source || ' → ' || target, ', ' order by \"rows\" desc, source) from (select * from {VARIANTS} order by \"rows\" desc, source limit 3))")
 CHECKS = [
-    DUPLICATES, _missing("order_id"), UNIQUE, _missing("order_date"), DATE_TYPE, DATE_RANGE, _numeric("quantity"), _low("quantity"),
+    CITIES, _consistent("category"), _consistent("channel"), _consistent("status"), DUPLICATES, _missing("order_id"), UNIQUE, _missing("order_date"), DATE_TYPE, DATE_RANGE, _numeric("quantity"), _low("quantity"),
     _missing("unit_price"), _numeric("unit_price"), _low("unit_price"), _missing("amount"), _numeric("amount"), _numeric("rating"), _low("rating"), _high("rating"),
 ]
 ALL_CHECKS = on_messy(" union all ".join(f"select * from ({c})" for c in CHECKS))
@@ -242,13 +250,18 @@ _single("chk8_plausible_date", "order_date.range", DATE_RANGE)
 _single("chk9_unique", "order_id.unique", UNIQUE)
 
 
-@query("chk2_column_exists")
+@query("chk2_column_exists", """
+select c || '.exists' as id, c as "column", 'exists' as rule, 'column present' as label, 1::bigint as failing_rows, 1::bigint as total_rows, 0.0::double as pass_rate, 'fail' as status, '' as detail
+from (select unnest(['city', 'amount']) as c)
+""")
 def column_exists(spark, sf_dir):
     checks = contract.run_checks(dirty(spark, sf_dir).drop("city", "amount"), _rules(spark, sf_dir), AS_OF, labels=False)
     return checks.where("rule = 'exists'")
 
 
-@query("chk10_consistent_labels")
+@query("chk10_consistent_labels", on_messy(f"""
+select coalesce(sum("rows"), 0)::bigint as variant_rows, (select string_agg(source || ' → ' || target, ', ' order by "rows" desc, source) from (select * from {VARIANTS} order by "rows" desc, source limit 3)) as examples from {VARIANTS}
+"""))
 def consistent_labels(spark, sf_dir):
     return label_variants(dirty(spark, sf_dir), "city")
 
@@ -267,19 +280,17 @@ def check_summary(spark, sf_dir):
     return contract.summarize_checks(_checks(spark, sf_dir))
 
 
+AFTER = [c.replace("from dirty", "from cleaned") for c in CHECKS]
+
+
 @query("chk13_before_and_after", on_messy(f"""
-with b as ({' union all '.join(f'select * from ({c})' for c in CHECKS)}),
-s as (select 'table.no_duplicates' as id, 0 as f, 'pass' as st union all select id, failing_rows, status from b where id <> 'table.no_duplicates' and id not in ('order_id.unique')
-  union all select 'order_id.unique', count(order_id) - count(distinct order_id), case when count(order_id) = count(distinct order_id) then 'pass' else 'fail' end
-  from (select distinct * from dirty))
-select s.id, b.status as bronze_status, b.failing_rows as bronze_failing from s left join b using (id)
+with cleaned as (select distinct * from dirty), b as ({' union all '.join(f'select * from ({c})' for c in CHECKS)}), s as ({' union all '.join(f'select * from ({c})' for c in AFTER)})
+select s.id, b.status as bronze_status, b.failing_rows as bronze_failing, s.status as silver_status, s.failing_rows as silver_failing from s left join b using (id)
 """))
 def before_and_after(spark, sf_dir):
     rules = _rules(spark, sf_dir)
     bronze = dirty(spark, sf_dir)
-    before = contract.run_checks(bronze, rules, AS_OF, labels=False)
-    after = contract.run_checks(bronze.dropDuplicates(), rules, AS_OF, labels=False)
-    return contract.compare_checks(before, after).select("id", "bronze_status", "bronze_failing")
+    return contract.compare_checks(contract.run_checks(bronze, rules, AS_OF), contract.run_checks(bronze.dropDuplicates(), rules, AS_OF))
 
 
 # -- column catalogues --------------------------------------------------------------------------------------

@@ -89,13 +89,35 @@ def similarity(spark, sf_dir):
     return similar_pairs(names, names, 0.6)
 
 
-@query("str8_arabic_to_latin")
+def _letters(table) -> str:
+    pairs = ", ".join(f"'{k}': '{v.replace(chr(39), chr(39) * 2)}'" for k, v in table.items())
+    return f"map {{{pairs}}}"
+
+
+def _mapped(parts: str, table) -> str:
+    return f"array_to_string(list_transform({parts}, lambda p: coalesce({_letters(table)}[p], p)), '')"
+
+
+def _arabic(cell: str) -> str:
+    """SQL for Latin text in Arabic letters: pairs first, a lone final e is silent."""
+    parts = f"regexp_extract_all(replace({sql_normal(cell)}, ' ', ''), '{'|'.join(vocabulary.LATIN_PAIRS_TO_ARABIC)}|.')"
+    spoken = f"list_slice({parts}, 1, len({parts}) - (case when {parts}[-1] = 'e' then 1 else 0 end))"
+    return _mapped(spoken, {**vocabulary.LATIN_PAIRS_TO_ARABIC, **vocabulary.LATIN_TO_ARABIC})
+
+
+@query("str8_arabic_to_latin", f"""
+with a as (select conv_id, turn, strip_accents({_arabic('text')}) as arabic from conversations)
+select conv_id, turn, {_mapped("regexp_extract_all(arabic, '.')", vocabulary.ARABIC_TO_LATIN)} as latin from a
+""")
 def arabic_to_latin(spark, sf_dir):
     df = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.latin_to_arabic(F.col("text")).alias("arabic"))
     return df.select("conv_id", "turn", text.arabic_to_latin(F.col("arabic")).alias("latin"))
 
 
-@query("str9_latin_to_arabic")
+@query("str9_latin_to_arabic", f"""
+with w as (select distinct unnest(list_filter(string_split_regex(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) as word from conversations)
+select word, {_arabic('word')} as arabic from w
+""")
 def latin_to_arabic(spark, sf_dir):
     words = F.explode(text.split_identifier(F.col("text")))
     df = table(spark, sf_dir, "conversations").select(words.alias("word")).distinct()
