@@ -2,9 +2,9 @@
 
 Ids are coded in blocks that stand alone. Many blocks are coded side by side, one numpy lane each, so that the steps of a
 block, which must follow one another, cost little. In each step the ids last seen after the same two ids (order 2)
-and after the same id (order 1) make a prediction; how often such predictions came true lately is mixed, by weights that
-learn, to the probability of a hit. A hit and, in the rest of the interval, every id by the order-0 frequency of its group share one
-interval of a 64-bit carryless range coder. All arithmetic is on integers.
+and after the same id (order 1) make a prediction. How often such predictions came true lately, and the share of the predicted id
+in the counts of all ids so far (order 0), are mixed, by weights that learn, to the probability of a hit. The rest of the interval
+belongs to the order-0 counts of single ids: a tree of three levels of RADIX ways that is updated after each id. All arithmetic is on integers.
 
 Block: magic, number of ids, CRC-32 of the ids as little-endian unsigned 32-bit integers, bytes that follow; then the code.
 """
@@ -21,19 +21,41 @@ from grainmill.llm.common import travels
 
 travels(__name__)
 
-MAGIC = b"GMR1"
+MAGIC = b"GMR2"
 HEADER, HEADER_SIZE = "<4sIII", 16
-#: Ids in a block, ids of the alphabet. Order 0 counts ids in groups of 2**GROUP_BITS and is summed anew every EPOCH steps.
-BLOCK, ALPHABET, GROUP_BITS, EPOCH = 4096, 49408, 6, 256
-GROUPS = ALPHABET >> GROUP_BITS
-GAIN = 32  # what an id seen adds to its group
-#: Before any id is seen, groups of small ids are likelier: vocabularies list frequent tokens first.
-PRIOR = np.array([4 + 8000 // (g + 4) for g in range(GROUPS)], dtype=np.int64)
+#: Ids in a block, ids of the alphabet.
+BLOCK, ALPHABET = 4096, 49408
+#: Ways of each level of the count tree; what an id adds to its counts, the sum at which a node's counts are halved, and
+#: their floor, by level from the root. So no id has less than 2**-28 of the rest.
+RADIX = 37
+GAINS, LIMITS, FLOORS = (24, 16, 8), (4096, 2048, 512), (8, 2, 1)
 SLOTS2, SLOTS1 = 2048, 1024
-TOTAL_BITS = 32
+TOTAL_BITS = 36
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
+#: Most of 4096 that a prediction gets.
+SUREST = 4064
 
-SQUASH = np.array([min(max(round(4096 / (1 + math.exp(-(x - 2048) / 256))), 16), 4080) for x in range(4096)], dtype=np.int64)
+
+def _priors() -> list[np.ndarray]:
+    """Counts before any id is seen, for each node of each level: small ids are likelier, since vocabularies list frequent tokens
+    first; numbers beyond the alphabet have none."""
+    ids = np.arange(RADIX**3)
+    likely = np.where(ids < ALPHABET, 1 + 4000 // (ids + 60), 0).reshape(RADIX, RADIX, RADIX)
+    top = likely.sum(axis=(1, 2))
+    middle = likely.sum(axis=2)
+    return [
+        np.where(top > 0, np.maximum(top * 1500 // top.sum(), FLOORS[0]), 0).reshape(1, RADIX),
+        np.where(middle > 0, np.maximum(middle * 500 // np.maximum(middle.sum(axis=1, keepdims=True), 1), FLOORS[1]), 0),
+        np.where(likely > 0, np.maximum(likely * 60 // np.maximum(likely.sum(axis=2, keepdims=True), 1), FLOORS[2]), 0).reshape(-1, RADIX),
+    ]
+
+
+PRIORS = _priors()
+#: The digits of each number in base RADIX, and what stands before the last.
+_NUMBERS = np.arange(RADIX**3)
+FIRST, SECOND, THIRD, UPPER = _NUMBERS // RADIX**2, _NUMBERS // RADIX % RADIX, _NUMBERS % RADIX, _NUMBERS // RADIX
+
+SQUASH = np.array([min(max(round(4096 / (1 + math.exp(-(x - 2048) / 256))), 16), SUREST) for x in range(4096)], dtype=np.int64)
 STRETCH = np.array([min(max(round(256 * math.log((p + 0.5) / (4096 - p - 0.5))), -2047), 2047) for p in range(4096)], dtype=np.int64)
 
 
@@ -49,20 +71,20 @@ class Model:
         self.id1, self.sure1 = np.zeros(lanes * SLOTS1, dtype=np.int32), np.zeros(lanes * SLOTS1, dtype=np.int8)
         # Hit rates by how sure order 2 is, order 1 is, and both with whether they agree; 16 bits each.
         self.rates = [np.full(lanes * n, 1 << 14, dtype=np.int64) for n in (4, 4, 32)]
-        self.weights = [np.full(lanes, 26000, dtype=np.int64) for _ in range(3)]
-        self.counts = np.tile(PRIOR, (lanes, 1))
-        self.sums = np.zeros((lanes, GROUPS + 1), dtype=np.int64)
+        self.weights = [*(np.full(lanes, 26000, dtype=np.int64) for _ in range(3)), np.full(lanes, 4000, dtype=np.int64)]
+        # The nodes of a level of all lanes, one after another; counts of a node follow one another. And their sums.
+        self.counts = [np.tile(p.astype(np.uint16), (lanes, 1)) for p in PRIORS]
+        self.flat = [c.reshape(-1) for c in self.counts]
+        self.sums = [np.tile(p.sum(axis=1).astype(np.int64), lanes) for p in PRIORS]
         self.number = np.arange(lanes, dtype=np.int64)
-        self.flat = np.zeros(0)
         self.step = 0
 
+    def nodes(self, ids: np.ndarray, lanes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each level, the node on the way to each id and the place in it."""
+        return [(lanes, FIRST[ids]), (lanes * RADIX + FIRST[ids], SECOND[ids]), (lanes * RADIX**2 + UPPER[ids], THIRD[ids])]
+
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The predicted id of the first n lanes and the part of 2**TOTAL_BITS that it gets."""
-        if self.step % EPOCH == 0:
-            # Scaled to a sum of 2**18, which is more than any count, so every group keeps a share.
-            self.sums[:n, 1:] = (np.cumsum(self.counts[:n], axis=1) << 18) // (int(PRIOR.sum()) + GAIN * self.step)
-            # Searched as one rising array: each lane's sums after those of the lane before.
-            self.flat = (self.sums[:n] + (np.arange(n, dtype=np.int64) << 19)[:, None]).ravel()
         number, one, two = self.number[:n], self.one[:n], self.two[:n]
         self.at2 = number * SLOTS2 + ((one * 40503 + two * 60493 >> 7) & (SLOTS2 - 1))
         self.at1 = number * SLOTS1 + ((one * 40503 >> 5) & (SLOTS1 - 1))
@@ -71,36 +93,47 @@ class Model:
         self.guess2, self.guess1 = id2, id1
         self.guess = np.where(self.now2 > 0, id2, id1)
         self.context = [number * 4 + self.now2, number * 4 + self.now1, number * 32 + self.now2 * 8 + self.now1 * 2 + (id1 == id2)]
-        self.stretched = [STRETCH[r[c] >> 4] for r, c in zip(self.rates, self.context, strict=True)]
+        # The share of the guess in the counts: below 2**27 over the product of three sums.
+        over, under = np.full(n, 1 << 16, dtype=np.int64), 1
+        for level, (node, place) in enumerate(self.nodes(self.guess, number)):
+            over, under = over * self.flat[level][node * RADIX + place], under * self.sums[level][node]
+        share = over // under
+        self.stretched = [*(STRETCH[r[c] >> 4] for r, c in zip(self.rates, self.context, strict=True)), STRETCH[np.minimum(share >> 4, 4095)]]
         dot = sum(w[:n] * s for w, s in zip(self.weights, self.stretched, strict=True)) >> 16
         self.chance = SQUASH[np.clip(dot + 2048, 0, 4095)]
         return self.guess, self.chance << (TOTAL_BITS - 12)
 
     def interval(self, ids: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width in 2**TOTAL_BITS of what stands for the ids."""
-        lanes = self.number[: len(ids)]
-        rest = (1 << TOTAL_BITS) - share
-        group = ids >> GROUP_BITS
-        low = self.sums[lanes, group] * rest >> 18
-        size = (self.sums[lanes, group + 1] * rest >> 18) - low
-        within = ids & ((1 << GROUP_BITS) - 1)
-        start = size * within >> GROUP_BITS
-        width = (size * (within + 1) >> GROUP_BITS) - start
-        hit = ids == self.guess
-        return np.where(hit, 0, share + low + start), np.where(hit, share, width)
+        start, width = np.zeros(len(ids), dtype=np.int64), share.copy()
+        missed = np.flatnonzero(ids != self.guess)
+        low, size = share[missed], (1 << TOTAL_BITS) - share[missed]
+        for level, (node, place) in enumerate(self.nodes(ids[missed], missed)):
+            upto, total = np.cumsum(self.counts[level][node], axis=1, dtype=np.int32).reshape(-1), self.sums[level][node]
+            at = np.arange(len(node)) * RADIX + place
+            after = upto[at].astype(np.int64)
+            first = size * (after - self.flat[level][node * RADIX + place]) // total
+            low, size = low + first, size * after // total - first
+        start[missed], width[missed] = low, size
+        return start, width
 
     def find(self, value: np.ndarray, share: np.ndarray) -> np.ndarray:
         """The ids whose intervals hold the values."""
-        lanes = self.number[: len(value)]
-        rest = (1 << TOTAL_BITS) - share
-        miss = np.maximum(value - share, 0)
-        sought = ((miss + 1 << 18) - 1) // rest
-        group = np.searchsorted(self.flat, sought + (lanes << 19), "right") - 1 - lanes * (GROUPS + 1)
-        group = np.clip(group, 0, GROUPS - 1)
-        low = self.sums[lanes, group] * rest >> 18
-        size = np.maximum((self.sums[lanes, group + 1] * rest >> 18) - low, 1)
-        within = (((miss - low + 1) << GROUP_BITS) - 1) // size
-        return np.where(value < share, self.guess, (group << GROUP_BITS) + np.clip(within, 0, (1 << GROUP_BITS) - 1))
+        ids = self.guess.astype(np.int64)
+        missed = np.flatnonzero(value >= share)
+        left, size, found = value[missed] - share[missed], (1 << TOTAL_BITS) - share[missed], np.zeros(len(missed), dtype=np.int64)
+        node = missed
+        for level in range(3):
+            upto, total = np.cumsum(self.counts[level][node], axis=1, dtype=np.int32), self.sums[level][node]
+            sought = (((left + 1) * total - 1) // np.maximum(size, 1)).astype(np.int32)
+            place = np.minimum(np.count_nonzero(upto <= sought[:, None], axis=1), RADIX - 1)
+            after = upto.reshape(-1)[np.arange(len(node)) * RADIX + place].astype(np.int64)
+            first = size * (after - self.flat[level][node * RADIX + place]) // total
+            left, size = left - first, size * after // total - first
+            found = found * RADIX + place
+            node = node * RADIX + place
+        ids[missed] = found
+        return ids
 
     def update(self, ids: np.ndarray) -> None:
         n = len(ids)
@@ -117,7 +150,16 @@ class Model:
             sure[at] = np.where(right, np.minimum(now + 1, 3), np.where(now > 1, now - 1, 1))
             table[at] = np.where(right | (now > 1), guess, ids)
         self.seen[:n, self.step] = ids
-        self.counts[self.number[:n], ids >> GROUP_BITS] += GAIN
+        for level, (node, place) in enumerate(self.nodes(ids, self.number[:n])):
+            counts, sums = self.counts[level], self.sums[level]
+            self.flat[level][node * RADIX + place] += GAINS[level]
+            new = sums[node] + GAINS[level]
+            sums[node] = new
+            if new.max() > LIMITS[level]:
+                full = node[new > LIMITS[level]]
+                halved = counts[full]
+                counts[full] = np.where(halved > 0, np.maximum(halved >> 1, FLOORS[level]), 0)
+                sums[full] = counts[full].sum(axis=1)
         self.two[:n] = self.one[:n]
         self.one[:n] = ids
         self.step += 1
@@ -138,14 +180,14 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     if lengths[0] > BLOCK or max((int(b.max(initial=0)) for b in blocks), default=0) >= ALPHABET:
         raise ValueError(f"a block has at most {BLOCK} ids, all below {ALPHABET}")
     lanes = len(blocks)
-    table = np.zeros((int(lengths[0]), lanes), dtype=np.int64)
+    table = np.zeros((int(lengths[0]), lanes), dtype=np.uint16)
     for lane, i in enumerate(order):
         table[: lengths[lane], lane] = blocks[i]
     model = Model(lanes)
     low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
     out, used = np.zeros((lanes, 3 * max(int(lengths[0]), 1) + 8), dtype="<u2"), np.zeros(lanes, dtype=np.int64)
     for step, n in enumerate(_active(lengths)):
-        ids = table[step, :n]
+        ids = table[step, :n].astype(np.int64)
         _, share = model.predict(n)
         start, size = model.interval(ids, share)
         unit = width[:n] >> np.uint64(TOTAL_BITS)

@@ -17,8 +17,8 @@ from grainmill.llm.tokens import END, id_bytes, tokenizer_path
 
 travels(__name__)
 
-#: Blocks that a task codes side by side.
-LANES = 2048
+#: Blocks that a task codes side by side; a lane has about 170 kB of model and buffers.
+LANES = 1024
 #: A file row: the block, and the slices of documents in it (their number in the part, doc_id, ids before in the part, ids here).
 ROW = "part int, block int, payload binary, docs array<struct<number: bigint, doc_id: {0}, start: bigint, n: bigint>>"
 
