@@ -86,8 +86,9 @@ def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFr
     texts = known
     if known is None:
         names = spark.createDataFrame([(i, name) for i, own in NAMES.items() for name in own], "license_id string, name string")
-        starts, tails = (spark.createDataFrame([(x,) for x in part], f"{name} string") for name, part in (("start", STARTS), ("tail", TAILS)))
-        notices = names.crossJoin(starts).crossJoin(tails).select("license_id", F.concat("start", "name", "tail").alias("text"))
+        begun = names.select("license_id", "name", F.explode(F.array(*map(F.lit, STARTS))).alias("start"))
+        ended = begun.select("license_id", F.concat("start", "name").alias("text"), F.explode(F.array(*map(F.lit, TAILS))).alias("tail"))
+        notices = ended.select("license_id", F.concat("text", "tail").alias("text"))
         texts = spark.createDataFrame([*KNOWN, *SPDX], "license_id string, text string").unionAll(notices)
     made = by_row(texts, ["text"], ["license_id"], "n_words bigint, digest string", lambda: digest).where("n_words > 0 and license_id is not null").select("digest", "license_id")
     if known is None:
