@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from grainmill.llm.common import by_row, shared_folder, stored, travels
@@ -22,6 +22,8 @@ travels(__name__)
 
 #: Bytes of an n-gram: at most 7, so that it is a 64-bit integer itself and no two share one.
 ORDER = 5
+#: Bytes of a text at which chance and what is peculiar to the text move its mean log probability alike.
+EVEN_BYTES = 7000.0
 #: N-grams in a file of the model.
 FILE_GRAMS = 1 << 20
 #: Distinct n-grams that a counting task holds before it passes them on.
@@ -132,32 +134,33 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return each.groupBy("language", "gram").agg(F.sum("n").alias("n"))
 
 
-def _discounts(times: dict[int, int]) -> list[float]:
-    """What counts of 1, 2 and more give up, from how many n-grams occur once to four times."""
-    n1, n2, n3, n4 = (times.get(i, 0) for i in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5
-    # Counts of counts of small corpora can be zero or out of order; a discount stays between 0 and its count.
-    return [min(max(i - (i + 1) * y * b / a, 0.05), i - 0.05) if a else 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+def _discounts(levels: DataFrame) -> DataFrame:
+    """language, k and what counts of 1, 2 and more give up (d1, d2, d3), from how many of the language's n-grams of that order
+    occur once to four times. Counts of counts of small corpora can be zero or out of order; a discount stays between 0 and its count."""
+    times = levels.where("n <= 4").groupBy("language", "k").agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)])
+    y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
+
+    def discount(i: int) -> Column:
+        a, b = F.col(f"n{i}"), F.col(f"n{i + 1}")
+        return F.when(a > 0, F.greatest(F.least(i - (i + 1) * y * b / F.nullif(a, F.lit(0)), F.lit(i - 0.05)), F.lit(0.05))).otherwise(0.5)
+
+    return times.select("language", "k", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)])
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """language, gram, log_p: the interpolated log probability of each n-gram's last byte after the others, from n-gram counts.
 
-    Lower orders count the distinct bytes before a gram. Discounts of each order for counts 1, 2 and more follow from
-    the counts of counts.
+    Lower orders count the distinct bytes before a gram. Discounts of each language and order for counts 1, 2 and more follow
+    from the counts of counts.
     """
     top = stored(counts, "grams")
     shorter = [F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("longer")) for k in range(1, order)]
     longer = top.select("language", F.inline(F.array(*shorter))).distinct()
     lower = longer.groupBy("language", "k", F.expr("longer & (shiftleft(1L, 8 * k) - 1)").alias("gram")).agg(F.count("*").alias("n"))
     levels = stored(top.select("language", F.lit(order).alias("k"), "gram", "n").unionAll(lower), "levels")
-    times: dict[int, dict[int, int]] = {}
-    for r in levels.where("n <= 4").groupBy("k", "n").count().collect():  # four rows an order
-        times.setdefault(r[0], {})[r[1]] = r[2]
-    n, discount = F.col("n"), F.lit(0.5)
-    for k in range(1, order + 1):
-        d = _discounts(times.get(k, {}))
-        discount = F.when(F.col("k") == k, F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])).otherwise(discount)
+    n = F.col("n")
+    discount = F.coalesce(F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3")), F.lit(0.5))
+    levels = levels.join(stored(_discounts(levels), "discounts"), ["language", "k"], "left")
     seen = levels.withColumn("context", F.shiftright("gram", 8))
     weights = seen.groupBy("language", "k", "context").agg(F.sum("n").alias("total"), (F.sum(discount) / F.sum("n")).alias("weight"))
     table = stored(seen.join(weights, ["language", "k", "context"]).select("language", "k", "gram", "weight", ((n - discount) / F.col("total")).alias("own")), "weights")
@@ -260,32 +263,42 @@ def measured(docs: DataFrame, carry: tuple[str, ...] = (), order: int = ORDER) -
     return by_row(docs, ["text", "lang"], list(dict.fromkeys(["doc_id", "lang", *carry])), f"{BASE}, base_failed boolean, log_ppl double", start)
 
 
-def perplexity_bands(scored: DataFrame, below: float = 2.0, above: float = 1.5, least_spread: float = 0.02) -> DataFrame:
-    """lang, lower, upper: around the median log perplexity of a language's documents that pass the base rules.
+def scale_of(size: Column, even_bytes: float) -> Column:
+    """How much wider than those of a very long text a text's deviations are: what is peculiar to a text does not shrink with its
+    length, chance does, and at `even_bytes` they weigh alike."""
+    return F.sqrt(1 + even_bytes / F.greatest(size, F.lit(1)))
+
+
+def perplexity_bands(scored: DataFrame, least_spread: float = 0.005, even_bytes: float = EVEN_BYTES) -> DataFrame:
+    """_lang, middle, low, high: the median log perplexity of a language's documents that pass the base rules, and the spread
+    on either side of it, that of a normal distribution with the same quartile on that side of the deviations over their scale.
 
-    Each side has its own spread, that of a normal distribution with the same quartile on that side, and its own width: text
-    that repeats itself or is made of one symbol lies below, gibberish and text in quite another language above. Values are
-    rounded to 0.001, so the exact quartiles need a few thousand counters whatever the number of documents.
+    Values are rounded to 0.001, so the exact quartiles need a few thousand counters whatever the number of documents.
     """
-    quartiles = F.percentile(F.round("log_ppl", 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    per_language = scored.where(~F.col("base_failed") & F.col("log_ppl").isNotNull()).groupBy(F.coalesce("lang", F.lit("")).alias("_lang")).agg(quartiles.alias("q"))
-    lower, upper = (F.greatest((F.col("q")[k + 1] - F.col("q")[k]) / 0.6745, F.lit(least_spread)) for k in (0, 1))
-    return per_language.select("_lang", (F.col("q")[1] - below * lower).alias("lower"), (F.col("q")[1] + above * upper).alias("upper"))
+    lang = F.coalesce("lang", F.lit("")).alias("_lang")
+    passed = scored.where(~F.col("base_failed") & F.col("log_ppl").isNotNull()).select(lang, "log_ppl", scale_of(F.col("word_chars") + F.col("n_words"), even_bytes).alias("scale"))
+    middles = stored(passed.groupBy("_lang").agg(F.percentile(F.round("log_ppl", 3), 0.5).alias("middle")), "middles")
+    deviations = passed.join(middles, "_lang").withColumn("d", F.round((F.col("log_ppl") - F.col("middle")) / F.col("scale"), 3))
+    quartiles = deviations.groupBy("_lang", "middle").agg(F.percentile("d", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    low, high = (F.greatest((F.col("q")[k + 1] - F.col("q")[k]) / 0.6745, F.lit(least_spread)) for k in (0, 1))
+    return quartiles.select("_lang", "middle", low.alias("low"), high.alias("high"))
 
 
-def quality_rules(docs: DataFrame, carry: tuple[str, ...] = (), below: float = 2.0, above: float = 1.5, byte_sd: float = 1.2) -> DataFrame:
+def quality_rules(docs: DataFrame, carry: tuple[str, ...] = (), below: float = 2.6, above: float = 2.3, even_bytes: float = EVEN_BYTES) -> DataFrame:
     """Base counts of every document and the verdict of language-specific perplexity bands.
 
     Returns doc_id, lang, the columns of BASE, base_failed, log_ppl, lower, upper, kept and the columns of `carry`, one row per input row.
     base_failed: fewer than 20 words, or over 30 % of the words in 8-word windows that recur in the text. kept: not
-    base_failed, and log_ppl within its language's band, widened by the standard error of a text's mean
-    (byte_sd / sqrt(bytes)); a text without a whole n-gram (zero bytes break them) is not kept. Null or empty text has no words and fails; a null language is one language of its own;
-    repeated rows count and repeat.
+    base_failed, and log_ppl within its language's band: `below` spreads under the median, since text that repeats itself or is
+    made of one symbol lies there, and `above` over it, for gibberish and text in quite another language, wider for short texts;
+    a text without a whole n-gram (zero bytes break them) is not kept. Null or empty text has no words and fails; a null language
+    is one language of its own; repeated rows count and repeat.
     """
     scored = stored(measured(docs, carry), "quality")
-    bands = stored(perplexity_bands(scored, below, above), "bands")
-    slack = byte_sd / F.sqrt(F.greatest(F.col("word_chars") + F.col("n_words"), F.lit(1)))
-    within = F.col("log_ppl").between(F.col("lower") - slack, F.col("upper") + slack)
+    bands = stored(perplexity_bands(scored, even_bytes=even_bytes), "bands")
+    scale = scale_of(F.col("word_chars") + F.col("n_words"), even_bytes)
     joined = scored.withColumn("_lang", F.coalesce("lang", F.lit(""))).join(bands, "_lang", "left")
+    joined = joined.withColumn("lower", F.col("middle") - below * F.col("low") * scale).withColumn("upper", F.col("middle") + above * F.col("high") * scale)
+    within = F.col("log_ppl").between(F.col("lower"), F.col("upper"))
     names = [line.split()[0] for line in BASE.split(", ")]
     return joined.select("doc_id", "lang", *names, "base_failed", "log_ppl", "lower", "upper", (~F.col("base_failed") & F.coalesce(within, F.lit(False))).alias("kept"), *(c for c in carry if c != "lang"))

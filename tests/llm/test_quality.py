@@ -35,3 +35,40 @@ def test_scores_from_files_equal_the_table(spark):
         stream = f" {text} ".encode()
         logs = [log_p[language(lang), int.from_bytes(stream[k : k + 5], "big")] for k in range(len(stream) - 4)]
         assert abs(score(text.encode().split(), lang) + sum(logs) / len(logs)) < 1e-5
+
+
+def by_hand(texts, order):
+    """The model of one language as dictionaries: last byte after the others, interpolated, with discounts from counts of counts."""
+    full = {}
+    for text in texts:
+        stream = b" " + b" ".join(text.encode().split()) + b" "
+        for k in range(len(stream) - order + 1):
+            g = stream[k : k + order]
+            full[g] = full.get(g, 0) + 1
+    levels = {order: full}
+    for k in range(1, order):
+        counts = {}
+        for longer in {g[-k - 1 :] for g in full}:
+            counts[longer[1:]] = counts.get(longer[1:], 0) + 1
+        levels[k] = counts
+    p = {}
+    for k in range(1, order + 1):
+        n = [0, *(sum(c == i for c in levels[k].values()) for i in (1, 2, 3, 4))]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
+        d = [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), i - 0.05) if n[i] else 0.5 for i in (1, 2, 3)]
+        total, given = {}, {}
+        for g, c in levels[k].items():
+            total[g[:-1]] = total.get(g[:-1], 0) + c
+            given[g[:-1]] = given.get(g[:-1], 0) + d[min(c, 3) - 1]
+        for g, c in levels[k].items():
+            below = p[g[1:]] if k > 1 else 1 / 256
+            p[g] = (c - d[min(c, 3) - 1]) / total[g[:-1]] + given[g[:-1]] / total[g[:-1]] * below
+    return {g: v for g, v in p.items() if len(g) == order}
+
+
+def test_probabilities_equal_a_model_written_out_by_hand(spark):
+    texts = {"en": ["the cat sat on the mat and the dog sat too", "a cat, a dog; the end", "the the the"] * 2 + ["a rare word"], "fr": ["été à la mer été", "le chat dort", "l'été"], None: ["zz zz z"]}
+    rows = [(k, t, lang) for lang, own in texts.items() for k, t in enumerate(own)]
+    got = {(r.language, r.gram): r.log_p for r in kneser_ney(gram_counts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), 4), 4).collect()}
+    want = {(language(lang), int.from_bytes(g, "big")): np.log(v) for lang, own in texts.items() for g, v in by_hand(own, 4).items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
