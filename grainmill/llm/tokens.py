@@ -12,8 +12,8 @@ travels(__name__)
 
 #: The id that ends each document.
 END = 2
-#: Distinct parts kept by a worker, about 60 MB at most; parts beyond are encoded each time they come.
-MAX_PARTS = 1 << 18
+#: Distinct parts kept by a worker, about 120 MB at most; parts beyond are encoded each time they come.
+MAX_PARTS = 1 << 19
 
 
 def tokenizer_path(name: str) -> str:
