@@ -45,6 +45,12 @@ def suggestions(spark, sf_dir):
     return cleaning.suggest_cleaning(dirty(spark, sf_dir)).drop("position")
 
 
+@query("sug1_with_labels")
+def suggestions_with_labels(spark, sf_dir):
+    """The same with their positions, which count the suggestions that were not made too."""
+    return cleaning.suggest_cleaning(dirty(spark, sf_dir))
+
+
 @query("sug2_convert_to_number", on_messy(f"select * from ({SUGGESTED}) where id like 'convert_numeric%' and impact > 0"))
 def suggest_numbers(spark, sf_dir):
     return cleaning.suggest_cleaning(dirty(spark, sf_dir)).where("id like 'convert_numeric%'").drop("position")
