@@ -111,6 +111,9 @@ def query_frame(spark: SparkSession, tables: dict[str, DataFrame], query: str) -
         raise QueryRefused("no table is published")
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
+    # Spark stops a recursive query at a million rows. The tables may be larger; runaway recursion still ends at the limit of
+    # levels. Read when the frame runs, so it stays set.
+    spark.conf.set("spark.sql.cteRecursionRowLimit", -1)
     return spark.sql(statement)
 
 
