@@ -1,6 +1,7 @@
 """Faults once found: each stays mended."""
 
 import datetime as dt
+import hashlib
 
 import pytest
 
@@ -54,6 +55,19 @@ def test_fingerprint_covers_all_parts(spark, tmp_path):
     assert files.fingerprint(spark, str(tmp_path / "t")).first().sha256 != before[0].sha256
 
 
+def test_fingerprint_needs_no_cell_for_a_file(spark, tmp_path):
+    folder = tmp_path / "a b %20é"
+    folder.mkdir()
+    (folder / "x y.bin").write_bytes(bytes(range(256)) * 40_000)
+    # Beyond this many bytes Spark refuses to make a cell of a file; it can be lowered, but not raised over 2 GB.
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        row = files.fingerprint(spark, str(folder / "x*")).first()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert (row.file, row.sha256, row.bytes) == ("x y.bin", hashlib.sha256(bytes(range(256)) * 40_000).hexdigest(), 10_240_000)
+
+
 def test_nulls_inside_nested_values_tell_rows_apart(spark):
     df = spark.sql("select array(1, null) v union all select array(null, 1) union all select array(1, null)")
     assert df.select(counting.duplicate_rows(df).alias("n")).first().n == 1
