@@ -82,6 +82,9 @@ def matched_lines(expected: DataFrame, found: DataFrame, doc: str = "doc_id", li
 def accuracy(expected: DataFrame, found: DataFrame, doc: str = "doc_id", line: str = "line_no", product: str = "product", amount: str = "amount") -> DataFrame:
     """One row per document: expected_rows, proposed_rows, rows_found, recall_pct, exact_amounts, amount_accuracy_pct, extra_rows,
     expected_total, proposed_total. Shares of a document that expects nothing are NULL; unreadable amounts add nothing."""
+    # Lines may come from texts that are costly to read: saved, since the matching, the comparison and the totals each read them.
+    needed = [quoted(c) for c in dict.fromkeys([doc, line, product, amount])]
+    expected, found = saved(expected.select(*needed)), saved(found.select(*needed))
     matches = matched_lines(expected, found, doc, line, product)
     own = [quoted(doc).alias("doc"), quoted(line).cast("bigint").alias("line"), amount_of(quoted(amount)).alias("amount")]
     wanted, offered = expected.select(*own), found.select(*own)

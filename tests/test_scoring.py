@@ -1,6 +1,8 @@
 import random
 from difflib import SequenceMatcher
 
+from pyspark.sql import functions as F
+
 from grainmill.operators import scoring
 
 
@@ -54,3 +56,19 @@ def test_accuracy(spark):
     assert got == {1: (3, 3, 2, 66.7, 1, 33.3, 1, 7.5, 13.1), 2: (0, 1, 0, None, 0, None, 1, 0.0, 0.0), 3: (1, 0, 0, 0.0, 0, 0.0, 0, 1.0, 0.0)}
     empty = [df.limit(0) for df in frames(spark, docs)]
     assert scoring.accuracy(*empty).count() == 0
+
+
+def test_lines_are_read_once(spark):
+    """The matching, the comparison and the totals share one reading of the lines."""
+    read = spark.sparkContext.accumulator(0)
+
+    def cost(text):
+        read.add(1)
+        return text
+
+    found = spark.createDataFrame([("d", 1, "pain", "2"), ("d", 2, "lait", "3"), ("e", 1, "eau", "4")], "doc_id string, line_no int, product string, amount string")
+    expected = found.where("line_no = 1")
+    costly = found.withColumn("product", F.udf(cost, "string")("product"))
+    scores = {r.doc_id: (r.rows_found, r.extra_rows, r.proposed_total) for r in scoring.accuracy(expected, costly).collect()}
+    assert scores == {"d": (1, 1, 5.0), "e": (1, 0, 4.0)}
+    assert read.value == 3
