@@ -13,7 +13,7 @@ from grainmill.functions.numbers import as_number, is_numeric_type, round_even
 from grainmill.functions.text import text_or_null
 from grainmill.operators import roles
 from grainmill.operators.counting import distinct_up_to, duplicate_rows, repeated_values
-from grainmill.operators.harmonise import label_variants
+from grainmill.operators.harmonise import cell_counts_of, label_variants
 from grainmill.operators.roles import quoted
 
 CONTRACT_SCHEMA = (
@@ -46,7 +46,7 @@ def rating_scale(values: Column) -> Column:
 
 
 def infer_contract(df: DataFrame) -> list[ColumnRule]:
-    """One pass for parse rates and rating scales, then exact label counts where they matter."""
+    """One pass for parse rates, rating scales and sketched label counts, then exact label counts where they matter."""
     fields = df.schema.fields
     typed_by_name = {
         f.name: "date"
@@ -62,6 +62,7 @@ def infer_contract(df: DataFrame) -> list[ColumnRule]:
     for i, f in enumerate(undecided):
         text = text_or_null(quoted(f.name))
         aggregates.append(F.avg(F.when(text.isNotNull(), as_number(quoted(f.name), f.dataType).isNotNull().cast("double"))).alias(f"r{i}"))
+        aggregates.append(F.approx_count_distinct(text).alias(f"c{i}"))
     for i, f in enumerate(rated):
         aggregates.append(rating_scale(as_number(quoted(f.name), f.dataType)).alias(f"s{i}"))
     seen = df.agg(*aggregates).first()
@@ -77,7 +78,7 @@ def infer_contract(df: DataFrame) -> list[ColumnRule]:
     types = {f.name: type_of(f.name) for f in fields}
     texts = [f.name for f in fields if types[f.name] == "text" and not roles.is_id(f.name)]
     trimmed = df.select(*[text_or_null(quoted(c)).alias(c) for c in texts])
-    labels = distinct_up_to(trimmed, texts, 30)
+    labels = distinct_up_to(trimmed, texts, 30, {f.name: seen[f"c{i}"] for i, f in enumerate(undecided)})
     return [
         ColumnRule(
             name=name,
@@ -133,9 +134,10 @@ def run_checks(df: DataFrame, contract: list[ColumnRule], as_of: dt.date, labels
     """All checks of a contract as one long table.
 
     Counts of every column come from one aggregate over the parsed columns. Duplicates, unique
-    identifiers and label variants have their own shuffle each and enter as scalar subqueries.
+    identifiers and the labels of all columns have their own shuffle each and enter as scalar subqueries.
     """
     known = [r for r in contract if r.name in df.columns]
+    cells_of = cell_counts_of(df, [r.name for r in known if r.categorical]) if labels else {}
     parsed, aggregates, cells = [], [F.count("*").alias("rows")], []
 
     def add(name, column, rule, label, failing, total, detail, warn_ratio=0.0, severity="error"):
@@ -199,7 +201,7 @@ def run_checks(df: DataFrame, contract: list[ColumnRule], as_of: dt.date, labels
             repeated = repeated_values(df, text)
             add(f"{name}.unique", name, "unique", "unique identifier", repeated, populated, counted(repeated, "repeated identifier(s)"))
         if rule.categorical and labels:
-            variants = label_variants(df, name)
+            variants = label_variants(df, name, cells_of[name])
             add(f"{name}.consistent", name, "consistent_labels", "consistent labels",
                 variants.select("variant_rows").scalar(), populated, variants.select("examples").scalar())
     wide = df.select(*parsed).agg(*aggregates) if parsed else df.agg(*aggregates)
