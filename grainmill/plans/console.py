@@ -19,6 +19,8 @@ from grainmill.operators.roles import quoted
 
 MAX_QUERY = 4000
 MAX_ROWS = 200
+# Shuffled size up to which one side's partitions are joined by hash; at least Spark's advisory partition size.
+HASHED_PARTITION = "64MB"
 
 
 class QueryRefused(ValueError):
@@ -114,6 +116,10 @@ def query_frame(spark: SparkSession, tables: dict[str, DataFrame], query: str) -
     # Spark stops a recursive query at a million rows. The tables may be larger; runaway recursion still ends at the limit of
     # levels. Read when the frame runs, so it stays set.
     spark.conf.set("spark.sql.cteRecursionRowLimit", -1)
+    if re.search(r"(?i)\blateral\b", statement):
+        # Spark joins what a lateral subquery makes of a cell back to its rows, each with the whole cell. A sort of them takes far
+        # more memory than their compressed shuffle promises; where one side's partitions are small, hashing that side needs no sort.
+        spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", HASHED_PARTITION)
     return spark.sql(statement)
 
 
