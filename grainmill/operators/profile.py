@@ -106,8 +106,14 @@ def column_examples(df: DataFrame, order_by: Sequence[str], count: int = 3) -> D
     return out.select("column_name", (F.col("i") + 1).alias("ord"), "example")
 
 
-def gold_column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Per column: data_type, non_null, completeness_pct, distinct_values."""
+def gold_column_profile(df: DataFrame, exact: bool = True, stored: bool = False) -> DataFrame:
+    """Per column: data_type, non_null, completeness_pct, distinct_values.
+
+    Exact distinct counts of several columns in one aggregate expand every row per column, all columns wide. A frame that is
+    `stored` in columns is grouped by one column at a time instead, each of which reads its own column only.
+    """
+    if exact and stored and df.columns:
+        return _stored_column_profile(df)
     aggregates = [F.count("*").alias("rows")]
     for i, name in enumerate(df.columns):
         aggregates += [F.count(quoted(name)).alias(f"n{i}"), _distinct(quoted(name), exact).alias(f"u{i}")]
@@ -124,6 +130,24 @@ def gold_column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     return df.agg(*aggregates).select(F.inline(F.array(*cells)))
 
 
+def _stored_column_profile(df: DataFrame) -> DataFrame:
+    parts = None
+    for f in df.schema:
+        groups = df.groupBy(quoted(f.name).alias("value")).agg(F.count("*").alias("n"))
+        counts = groups.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+            F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"),
+            F.count("value").alias("distinct_values"),
+        )
+        part = counts.select(
+            F.lit(f.name).alias("column_name"), F.lit(kind(f.dataType)).alias("data_type"), "non_null",
+            F.coalesce(round_even(F.try_divide(F.col("non_null") * 100.0, F.col("rows")), 1), F.lit(0.0)).alias("completeness_pct"),
+            "distinct_values",
+        )
+        parts = part if parts is None else parts.unionAll(part)
+    return parts
+
+
 def semantic_manifest(df: DataFrame) -> DataFrame:
     """Per column: name, normalised name, kind, whether a missing value was observed."""
     aggregates = [F.count("*").alias("row_count")]

@@ -34,9 +34,14 @@ def read_contract(project: Project) -> list[ColumnRule]:
     return contract_from(project.spark.read.parquet(location)) if location else []
 
 
-def publish_gold(project: Project, silver: DataFrame) -> dict[str, DataFrame]:
-    """Replace every Gold table in one pointer change; stale names disappear with it."""
-    tables = gold_tables(silver)
+def publish_gold(project: Project, silver: DataFrame, stored: bool = False) -> dict[str, DataFrame]:
+    """Replace every Gold table in one pointer change; stale names disappear with it. The tables read Silver several times, so a
+    frame that is not `stored` as a table is written once."""
+    if not stored:
+        staging = f"{project.path}/staging/{uuid.uuid4().hex[:12]}"
+        silver.write.mode("errorifexists").parquet(staging)
+        silver = project.spark.read.schema(silver.schema).parquet(staging)
+    tables = gold_tables(silver, stored=True)
     locations = {name: project.write(df, name) for name, df in tables.items()}
     stale = {name: None for name in project.locations() if name.startswith("gold_") and name not in tables}
     project.publish({**locations, **stale})
@@ -84,7 +89,7 @@ def refresh(
     before, after = stage("validate_contract", "contract", validate)
 
     def aggregate():
-        tables = publish_gold(project, typed)
+        tables = publish_gold(project, typed, stored=True)
         shapes = [{"name": n, "rows": df.count(), "columns": df.columns} for n, df in tables.items()]
         return shapes, silver_rows, sum(s["rows"] for s in shapes)
 
