@@ -25,6 +25,12 @@ AMOUNT_ERROR = 0.005
 PART_LINES = 10_000
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The frame as one side of a join that deals out both. Lines are read from texts that may be stored in a small part of their
+    size, by which Spark would take them for small and broadcast every line through the driver."""
+    return df.hint("merge")
+
+
 def line_name(c: Column) -> Column:
     """The name as compared: no accents, no other characters beyond ASCII, lower case, single blanks."""
     ascii_only = F.regexp_replace(plain(F.coalesce(c.cast("string"), F.lit(""))), r"[^\x00-\x7f]", "")
@@ -45,7 +51,7 @@ def earlier(df: DataFrame, group: list[str], order: str, value: Column, name: st
     starts = sums.select(*group, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(*group, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     total = F.col("_start") + F.coalesce(F.sum("_value").over(inside), F.lit(0))
-    return marked.join(starts, [*group, "_part"]).withColumn(name, total).drop("_part", "_value", "_start")
+    return marked.join(shuffled(starts), [*group, "_part"]).withColumn(name, total).drop("_part", "_value", "_start")
 
 
 def matched_lines(expected: DataFrame, found: DataFrame, doc: str = "doc_id", line: str = "line_no", product: str = "product") -> DataFrame:
@@ -63,15 +69,15 @@ def matched_lines(expected: DataFrame, found: DataFrame, doc: str = "doc_id", li
     # The expected name is the second one of the ratio, as the ratio is not symmetric.
     near = similar_pairs(names[1].where("key <> ''"), names[0].where("key <> ''"), MATCH_RATIO, within=["doc"])
     near = near.select("doc", F.col("candidate_key").alias("wanted"), F.col("source_key").alias("name"), "ratio")
-    same = names[0].join(names[1], ["doc", "key"]).select("doc", F.col("key").alias("wanted"), F.col("key").alias("name"), F.lit(1.0).alias("ratio"))
-    pairs = wanted.withColumnRenamed("name", "wanted").join(near.unionByName(same), ["doc", "wanted"]).select("doc", "line", "name", "ratio")
+    same = names[0].join(shuffled(names[1]), ["doc", "key"]).select("doc", F.col("key").alias("wanted"), F.col("key").alias("name"), F.lit(1.0).alias("ratio"))
+    pairs = wanted.withColumnRenamed("name", "wanted").join(shuffled(near.unionByName(same)), ["doc", "wanted"]).select("doc", "line", "name", "ratio")
     claims = saved(pairs.withColumn("claimed", F.lit(False)))
     taken = ["doc", "name", "place"]
     while True:
-        counted = earlier(claims, ["doc", "name"], "line", F.col("claimed"), "place").join(places.select(*taken, "found_line"), taken, "left")
+        counted = earlier(claims, ["doc", "name"], "line", F.col("claimed"), "place").join(shuffled(places.select(*taken, "found_line")), taken, "left")
         rank = F.struct(F.col("ratio"), -F.col("found_line"))
         best = counted.where("found_line is not null").groupBy("doc", "line").agg(F.max_by(F.struct("name", "found_line"), rank).alias("best"))
-        new = counted.drop("place", "found_line").join(best, ["doc", "line"], "left").select(
+        new = counted.drop("place", "found_line").join(shuffled(best), ["doc", "line"], "left").select(
             "doc", "line", "name", "ratio", F.col("claimed").alias("before"), F.coalesce(F.col("best.name") == F.col("name"), F.lit(False)).alias("claimed"), F.col("best.found_line").alias("found_line"))
         new = saved(new)
         if new.where("before <> claimed").isEmpty():
@@ -90,15 +96,16 @@ def accuracy(expected: DataFrame, found: DataFrame, doc: str = "doc_id", line: s
     wanted, offered = expected.select(*own), found.select(*own)
     exact = F.abs(F.col("f.amount") - F.col("e.amount")) < AMOUNT_ERROR
     compared = (
-        matches.withColumnRenamed(doc, "doc").alias("m").join(wanted.alias("e"), (F.col("m.doc") == F.col("e.doc")) & (F.col("expected_line") == F.col("e.line")))
-        .join(offered.alias("f"), (F.col("m.doc") == F.col("f.doc")) & (F.col("found_line") == F.col("f.line")))
+        matches.withColumnRenamed(doc, "doc").alias("m").join(shuffled(wanted.alias("e")), (F.col("m.doc") == F.col("e.doc")) & (F.col("expected_line") == F.col("e.line")))
+        .join(shuffled(offered.alias("f")), (F.col("m.doc") == F.col("f.doc")) & (F.col("found_line") == F.col("f.line")))
     )
     scores = compared.groupBy(F.col("m.doc").alias("doc")).agg(F.count("*").alias("rows_found"), F.count_if(exact).alias("exact_amounts"))
 
     def totals(df: DataFrame, rows: str, total: str) -> DataFrame:
         return df.groupBy("doc").agg(F.count("*").alias(rows), F.sum("amount").alias(total))
 
-    both = totals(wanted, "expected_rows", "expected_total").join(totals(offered, "proposed_rows", "proposed_total"), "doc", "full").join(scores, "doc", "left")
+    both = totals(wanted, "expected_rows", "expected_total").join(shuffled(totals(offered, "proposed_rows", "proposed_total")), "doc", "full")
+    both = both.join(shuffled(scores), "doc", "left")
     both = both.fillna(0, ["expected_rows", "proposed_rows", "rows_found", "exact_amounts", "expected_total", "proposed_total"])
 
     def share(part: str) -> Column:
