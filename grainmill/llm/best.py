@@ -19,22 +19,37 @@ class Best:
 
     def __init__(self, rows: int, k: int, least: np.ndarray | float = -np.inf):
         self.k = k
-        self.entries = [np.zeros(0, dtype=np.int64) for _ in range(4)]  # row, score, no id, id
+        self.known, self.missing = np.zeros((rows, k), dtype=bool), np.zeros((rows, k), dtype=bool)
+        self.score, self.ids = np.zeros((rows, k), dtype=np.int64), np.zeros((rows, k), dtype=np.int64)
         #: Scores below this can't enter a row.
         self.least = np.zeros(rows) + least
 
+    @property
+    def entries(self) -> list[np.ndarray]:
+        """Row, score, no id, id of all entries, by row and place."""
+        at = np.nonzero(self.known)
+        return [at[0], self.score[at], self.missing[at].astype(np.int64), self.ids[at]]
+
     def add(self, *new: np.ndarray) -> None:
-        """Take entries as arrays of row, score, whether the id is null, id."""
-        if not len(new[0]):
+        """Take entries as arrays of row, score, whether the id is null, id. Only the rows that they enter are sorted anew."""
+        row, score, missing, ids = (x.astype(np.int64) for x in new)
+        last = self.score[row, -1]
+        better = (missing < self.missing[row, -1]) | ((missing == self.missing[row, -1]) & (ids < self.ids[row, -1]))
+        enters = np.flatnonzero(~self.known[row, -1] | (score > last) | ((score == last) & better))
+        if not len(enters):
             return
-        row, score, missing, ids = (np.concatenate([old, more.astype(np.int64)]) for old, more in zip(self.entries, new, strict=True))
+        touched = np.unique(row[enters])
+        at, place = np.nonzero(self.known[touched])
+        held = touched[at], place
+        old = held[0], self.score[held], self.missing[held], self.ids[held]
+        row, score, missing, ids = (np.concatenate([a, b[enters]]) for a, b in zip(old, (row, score, missing, ids), strict=True))
         order = np.lexsort((ids, missing, -score, row))
         row = row[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
-        kept = order[place < self.k]
-        self.entries = [row[place < self.k], score[kept], missing[kept], ids[kept]]
-        last = place == self.k - 1
-        self.least[row[last]] = np.maximum(self.least[row[last]], score[order[last]])
+        kept, to = order[place < self.k], (row[place < self.k], place[place < self.k])
+        self.known[to], self.score[to], self.missing[to], self.ids[to] = True, score[kept], missing[kept], ids[kept]
+        full = touched[self.known[touched, -1]]
+        self.least[full] = np.maximum(self.least[full], self.score[full, -1])
 
 
 #: What a task gives: row a and slot of a, score, id.
