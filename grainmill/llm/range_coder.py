@@ -51,118 +51,119 @@ def _priors() -> list[np.ndarray]:
 
 
 PRIORS = _priors()
-#: The digits of each number in base RADIX, and what stands before the last.
+#: Nodes of each level. For each level, the node on the way to a number and the place in it: the number's digits in base RADIX.
+NODES = (1, RADIX, RADIX**2)
 _NUMBERS = np.arange(RADIX**3)
-FIRST, SECOND, THIRD, UPPER = _NUMBERS // RADIX**2, _NUMBERS // RADIX % RADIX, _NUMBERS % RADIX, _NUMBERS // RADIX
+NODE = np.stack([0 * _NUMBERS, _NUMBERS // RADIX**2, _NUMBERS // RADIX])
+PLACE = np.stack([_NUMBERS // RADIX**2, _NUMBERS // RADIX % RADIX, _NUMBERS % RADIX])
+#: A node is a row of its counts and their sum.
+ROW = RADIX + 1
+CELL = np.concatenate([NODE * ROW + PLACE, NODE * ROW + RADIX])
+GAIN, LIMIT, FLOOR = (np.array(x, dtype=np.uint16)[:, None] for x in (GAINS * 2, LIMITS, FLOORS))
+#: A row times this: the counts up to each place. Row p of the other: the places before p.
+UPTO = np.triu(np.ones((ROW, RADIX), dtype=np.float32))
+BEFORE = np.ascontiguousarray(np.tril(np.ones((RADIX, ROW), dtype=np.float32), -1))
 
 SQUASH = np.array([min(max(round(4096 / (1 + math.exp(-(x - 2048) / 256))), 16), SUREST) for x in range(4096)], dtype=np.int64)
 STRETCH = np.array([min(max(round(256 * math.log((p + 0.5) / (4096 - p - 0.5))), -2047), 2047) for p in range(4096)], dtype=np.int64)
+#: Hit rates of a lane: by how sure order 2 is, order 1 is, and both with whether they agree.
+RATES = 4 + 4 + 32
 
 
 class Model:
-    """Predictions for the next id of every lane. The lanes that still run come first."""
+    """Predictions for the next id of every lane. The lanes that still run come first. Orders, levels and inputs of the mixer are the
+    first axis of what is looked up and updated, so that each step takes few calls."""
 
     def __init__(self, lanes: int) -> None:
-        self.lanes = lanes
-        self.seen = np.zeros((lanes, BLOCK), dtype=np.uint16)
         self.one = np.zeros(lanes, dtype=np.int64)
         self.two = np.zeros(lanes, dtype=np.int64)
-        self.id2, self.sure2 = np.zeros(lanes * SLOTS2, dtype=np.int32), np.zeros(lanes * SLOTS2, dtype=np.int8)
-        self.id1, self.sure1 = np.zeros(lanes * SLOTS1, dtype=np.int32), np.zeros(lanes * SLOTS1, dtype=np.int8)
-        # Hit rates by how sure order 2 is, order 1 is, and both with whether they agree; 16 bits each.
-        self.rates = [np.full(lanes * n, 1 << 14, dtype=np.int64) for n in (4, 4, 32)]
-        self.weights = [*(np.full(lanes, 26000, dtype=np.int64) for _ in range(3)), np.full(lanes, 4000, dtype=np.int64)]
-        # The nodes of a level of all lanes, one after another; counts of a node follow one another. And their sums.
-        self.counts = [np.tile(p.astype(np.uint16), (lanes, 1)) for p in PRIORS]
-        self.flat = [c.reshape(-1) for c in self.counts]
-        self.sums = [np.tile(p.sum(axis=1).astype(np.int64), lanes) for p in PRIORS]
-        self.number = np.arange(lanes, dtype=np.int64)
-        self.step = 0
-
-    def nodes(self, ids: np.ndarray, lanes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each level, the node on the way to each id and the place in it."""
-        return [(lanes, FIRST[ids]), (lanes * RADIX + FIRST[ids], SECOND[ids]), (lanes * RADIX**2 + UPPER[ids], THIRD[ids])]
+        # The ids last seen after the same two ids, then after the same one, times four, and how sure that is.
+        self.last = np.zeros(lanes * (SLOTS2 + SLOTS1), dtype=np.int32)
+        self.rates = np.full(lanes * RATES, 1 << 14, dtype=np.int64)  # 16 bits each
+        self.weights = np.repeat(np.array([[26000], [26000], [26000], [4000]], dtype=np.int64), lanes, axis=1)
+        # The nodes of the first level of all lanes, one lane after another, then those of the next; counts of a node follow one another.
+        self.counts = np.concatenate([np.tile(np.column_stack([p, p.sum(axis=1)]).astype(np.uint16), (lanes, 1)) for p in PRIORS])
+        self.flat = self.counts.reshape(-1)
+        number = np.arange(lanes, dtype=np.int64)
+        self.slots = np.stack([number * (SLOTS2 + SLOTS1), number * (SLOTS2 + SLOTS1) + SLOTS2])
+        self.kinds = np.stack([number * RATES, number * RATES + 4, number * RATES + 8])
+        self.node = np.stack([lanes * sum(NODES[:level]) + number * nodes for level, nodes in enumerate(NODES)])
+        self.cell = np.concatenate([self.node * ROW] * 2)
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The predicted id of the first n lanes and the part of 2**TOTAL_BITS that it gets."""
-        number, one, two = self.number[:n], self.one[:n], self.two[:n]
-        self.at2 = number * SLOTS2 + ((one * 40503 + two * 60493 >> 7) & (SLOTS2 - 1))
-        self.at1 = number * SLOTS1 + ((one * 40503 >> 5) & (SLOTS1 - 1))
-        id2, self.now2 = self.id2[self.at2], self.sure2[self.at2]
-        id1, self.now1 = self.id1[self.at1], self.sure1[self.at1]
-        self.guess2, self.guess1 = id2, id1
-        self.guess = np.where(self.now2 > 0, id2, id1)
-        self.context = [number * 4 + self.now2, number * 4 + self.now1, number * 32 + self.now2 * 8 + self.now1 * 2 + (id1 == id2)]
+        one = self.one[:n] * 40503
+        self.at = self.slots[:, :n] + np.stack([(one + self.two[:n] * 60493 >> 7) & (SLOTS2 - 1), (one >> 5) & (SLOTS1 - 1)])
+        last = self.last.take(self.at)
+        self.guesses, self.now = last >> 2, last & 3
+        sure2, sure1 = self.now
+        self.guess = np.where(sure2 > 0, *self.guesses).astype(np.int64)
+        agreed = self.guesses[0] == self.guesses[1]
+        self.context = self.kinds[:, :n] + np.stack([sure2, sure1, sure2 * 8 + sure1 * 2 + agreed])
         # The share of the guess in the counts: below 2**27 over the product of three sums.
-        over, under = np.full(n, 1 << 16, dtype=np.int64), 1
-        for level, (node, place) in enumerate(self.nodes(self.guess, number)):
-            over, under = over * self.flat[level][node * RADIX + place], under * self.sums[level][node]
-        share = over // under
-        self.stretched = [*(STRETCH[r[c] >> 4] for r, c in zip(self.rates, self.context, strict=True)), STRETCH[np.minimum(share >> 4, 4095)]]
-        dot = sum(w[:n] * s for w, s in zip(self.weights, self.stretched, strict=True)) >> 16
-        self.chance = SQUASH[np.clip(dot + 2048, 0, 4095)]
+        found = self.flat.take(CELL.take(self.guess, axis=1) + self.cell[:, :n]).astype(np.int64)
+        share = (found[0] * found[1] * found[2] << 16) // (found[3] * found[4] * found[5])
+        self.old = self.rates.take(self.context)
+        self.stretched = STRETCH.take(np.concatenate([self.old >> 4, np.minimum(share >> 4, 4095)[None]]))
+        dot = (self.weights[:, :n] * self.stretched).sum(axis=0) >> 16
+        self.chance = SQUASH.take(np.minimum(np.maximum(dot + 2048, 0), 4095))
         return self.guess, self.chance << (TOTAL_BITS - 12)
 
     def interval(self, ids: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width in 2**TOTAL_BITS of what stands for the ids."""
         start, width = np.zeros(len(ids), dtype=np.int64), share.copy()
         missed = np.flatnonzero(ids != self.guess)
+        sought = ids[missed]
+        rows = self.counts.take(NODE.take(sought, axis=1) + self.node.take(missed, axis=1), axis=0)
+        own = self.flat.take(CELL.take(sought, axis=1) + self.cell.take(missed, axis=1)).astype(np.int64)
+        before = np.einsum("lik,lik->li", rows.astype(np.float32), BEFORE.take(PLACE.take(sought, axis=1), axis=0)).astype(np.int64)
         low, size = share[missed], (1 << TOTAL_BITS) - share[missed]
-        for level, (node, place) in enumerate(self.nodes(ids[missed], missed)):
-            upto, total = np.cumsum(self.counts[level][node], axis=1, dtype=np.int32).reshape(-1), self.sums[level][node]
-            at = np.arange(len(node)) * RADIX + place
-            after = upto[at].astype(np.int64)
-            first = size * (after - self.flat[level][node * RADIX + place]) // total
-            low, size = low + first, size * after // total - first
+        for first, count, total in zip(before, own[:3], own[3:], strict=True):
+            begin = size * first // total
+            low, size = low + begin, size * (first + count) // total - begin
         start[missed], width[missed] = low, size
         return start, width
 
-    def find(self, value: np.ndarray, share: np.ndarray) -> np.ndarray:
-        """The ids whose intervals hold the values."""
-        ids = self.guess.astype(np.int64)
+    def find(self, value: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids whose intervals hold the values, start and width of these."""
+        ids, start, width = self.guess.copy(), np.zeros(len(value), dtype=np.int64), share.copy()
         missed = np.flatnonzero(value >= share)
         left, size, found = value[missed] - share[missed], (1 << TOTAL_BITS) - share[missed], np.zeros(len(missed), dtype=np.int64)
-        node = missed
-        for level in range(3):
-            upto, total = np.cumsum(self.counts[level][node], axis=1, dtype=np.int32), self.sums[level][node]
-            sought = (((left + 1) * total - 1) // np.maximum(size, 1)).astype(np.int32)
-            place = np.minimum(np.count_nonzero(upto <= sought[:, None], axis=1), RADIX - 1)
-            after = upto.reshape(-1)[np.arange(len(node)) * RADIX + place].astype(np.int64)
-            first = size * (after - self.flat[level][node * RADIX + place]) // total
-            left, size = left - first, size * after // total - first
+        row = np.arange(len(missed)) * RADIX
+        for nodes in self.node:
+            node = nodes.take(missed) + found
+            rows = self.counts.take(node, axis=0)
+            upto, total = rows.astype(np.float32) @ UPTO, np.maximum(rows[:, RADIX], 1).astype(np.int64)
+            sought = ((left + 1) * total - 1) // np.maximum(size, 1)
+            passed = (upto <= sought.astype(np.float32)[:, None]).view(np.int8)
+            place = np.minimum(np.einsum("ik->i", passed).astype(np.int64), RADIX - 1)
+            after = upto.take(row + place).astype(np.int64)
+            begin = size * (after - self.flat.take(node * ROW + place)) // total
+            left, size = left - begin, size * after // total - begin
             found = found * RADIX + place
-            node = node * RADIX + place
-        ids[missed] = found
-        return ids
+        ids[missed], start[missed], width[missed] = np.minimum(found, ALPHABET - 1), value[missed] - left, size
+        return ids, start, width
 
     def update(self, ids: np.ndarray) -> None:
         n = len(ids)
         hit = ids == self.guess
         error = ((hit.astype(np.int64) << 12) - self.chance) * 7
-        for weight, s in zip(self.weights, self.stretched, strict=True):
-            weight[:n] += (s * error + 0x8000) >> 16
-        aim = hit.astype(np.int64) << 16
-        for rate, c in zip(self.rates, self.context, strict=True):
-            old = rate[c]
-            rate[c] = np.minimum(old + ((aim - old) >> 5), 65535)
-        for table, sure, at, now, guess in ((self.id2, self.sure2, self.at2, self.now2, self.guess2), (self.id1, self.sure1, self.at1, self.now1, self.guess1)):
-            right = ids == guess
-            sure[at] = np.where(right, np.minimum(now + 1, 3), np.where(now > 1, now - 1, 1))
-            table[at] = np.where(right | (now > 1), guess, ids)
-        self.seen[:n, self.step] = ids
-        for level, (node, place) in enumerate(self.nodes(ids, self.number[:n])):
-            counts, sums = self.counts[level], self.sums[level]
-            self.flat[level][node * RADIX + place] += GAINS[level]
-            new = sums[node] + GAINS[level]
-            sums[node] = new
-            if new.max() > LIMITS[level]:
-                full = node[new > LIMITS[level]]
-                halved = counts[full]
-                counts[full] = np.where(halved > 0, np.maximum(halved >> 1, FLOORS[level]), 0)
-                sums[full] = counts[full].sum(axis=1)
+        self.weights[:, :n] += (self.stretched * error + 0x8000) >> 16
+        self.rates[self.context] = np.minimum(self.old + (((hit.astype(np.int64) << 16) - self.old) >> 5), 65535)
+        right, firm = ids == self.guesses, self.now > 1
+        sure = np.where(right, np.minimum(self.now + 1, 3), np.where(firm, self.now - 1, 1))
+        self.last[self.at] = np.where(right | firm, self.guesses, ids) * 4 + sure
+        cell = CELL.take(ids, axis=1) + self.cell[:, :n]
+        new = self.flat.take(cell) + GAIN
+        self.flat[cell] = new
+        over = new[3:] > LIMIT
+        if over.any():
+            full = cell[3:][over] // ROW
+            halved = self.counts.take(full, axis=0)[:, :RADIX]
+            halved = np.where(halved > 0, np.maximum(halved >> 1, np.broadcast_to(FLOOR, over.shape)[over][:, None]), 0)
+            self.counts[full] = np.column_stack([halved, halved.sum(axis=1)])
         self.two[:n] = self.one[:n]
         self.one[:n] = ids
-        self.step += 1
 
 
 def _active(lengths: np.ndarray) -> np.ndarray:
@@ -230,25 +231,25 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
     lengths = np.array([heads[i][0] for i in order])
     lanes = len(blocks)
     codes = [np.frombuffer(blocks[i], dtype="<u2", offset=HEADER_SIZE) for i in order]
-    words = np.zeros((lanes, max(len(c) for c in codes) + 4), dtype=np.uint64)
+    words = np.zeros((lanes, max(len(c) for c in codes) + 4), dtype="<u2")
     for lane, c in enumerate(codes):
         words[lane, : len(c)] = c
     ends = np.array([len(c) for c in codes])
     code = np.zeros(lanes, dtype=np.uint64)
     for k in range(4):
-        code = code << np.uint64(16) | words[:, k]
+        code = code << np.uint64(16) | words[:, k].astype(np.uint64)
     used = np.full(lanes, 4)
-    model = Model(lanes)
+    model, seen = Model(lanes), np.zeros((int(lengths[0]), lanes), dtype=np.uint16)
     low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
-    for n in _active(lengths):
+    for step, n in enumerate(_active(lengths)):
         _, share = model.predict(n)
         unit = width[:n] >> np.uint64(TOTAL_BITS)
         value = np.minimum((code[:n] - low[:n]) // unit, np.uint64((1 << TOTAL_BITS) - 1)).astype(np.int64)
-        ids = np.clip(model.find(value, share), 0, ALPHABET - 1)
-        start, size = model.interval(ids, share)
+        ids, start, size = model.find(value, share)
         low[:n] += unit * start.astype(np.uint64)
         width[:n] = unit * np.maximum(size, 1).astype(np.uint64)
         model.update(ids)
+        seen[step, :n] = ids
         lanes_left = np.arange(n)
         while True:
             a, w = low[lanes_left], width[lanes_left]
@@ -259,14 +260,14 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
             lanes_left, a, w, settled = lanes_left[ready], a[ready], w[ready], settled[ready]
             w = np.where(settled, w, (np.uint64(0) - a) & (BOTTOM - np.uint64(1)))
             here = np.minimum(used[lanes_left], ends[lanes_left])
-            code[lanes_left] = code[lanes_left] << np.uint64(16) | words[lanes_left, here]
+            code[lanes_left] = code[lanes_left] << np.uint64(16) | words[lanes_left, here].astype(np.uint64)
             used[lanes_left] += 1
             low[lanes_left] = a << np.uint64(16)
             width[lanes_left] = w << np.uint64(16)
     found: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * lanes
     for lane, i in enumerate(order):
         n, crc = heads[i]
-        ids = model.seen[lane, :n].astype("<u4")
+        ids = seen[:n, lane].astype("<u4")
         if zlib.crc32(ids.tobytes()) != crc:
             raise ValueError("a block's ids do not match its checksum")
         found[i] = ids

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from grainmill.llm.common import by_row, shared_folder, travels
 from grainmill.llm.range_coder import BLOCK, decode, encode
@@ -32,15 +34,24 @@ def _matrix_times(matrix: list[int], vector: int) -> int:
     return out
 
 
+def _shifts() -> list[list[int]]:
+    """What 2**k zero bytes make of a CRC-32, for each k."""
+    matrix, found = [0xEDB88320, *(1 << k for k in range(31))], []  # one zero bit
+    for k in range(64):
+        if k >= 3:
+            found.append(matrix)
+        matrix = [_matrix_times(matrix, row) for row in matrix]
+    return found
+
+
+SHIFTS = _shifts()
+
+
 def joined_crc(first: int, second: int, size: int) -> int:
     """CRC-32 of two byte strings together, from the CRC-32 of each and the number of bytes of the second."""
-    matrix = [0xEDB88320, *(1 << k for k in range(31))]  # one zero bit
-    bits = size * 8
-    while bits:
-        if bits & 1:
-            first = _matrix_times(matrix, first)
-        matrix = [_matrix_times(matrix, row) for row in matrix]
-        bits >>= 1
+    for k in range(size.bit_length()):
+        if size >> k & 1:
+            first = _matrix_times(SHIFTS[k], first)
     return first ^ second
 
 
@@ -102,10 +113,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json",
     ordered.mapInArrow(code, ROW.format(kind)).write.parquet(path)
 
 
-def read_ids(files: DataFrame) -> DataFrame:
-    """Decode the blocks: part, number, doc_id, start (ids before in the part), ids (binary, little-endian unsigned 32-bit) for each
-    document's slice in a block. A block that does not match its checksum raises ValueError."""
+def read_slices(files: DataFrame, made: str, of: Callable[[np.ndarray], tuple]) -> DataFrame:
+    """Decode the blocks: part, number, doc_id, start (ids before in the part), and the values of `made` (DDL) that `of` makes of the
+    ids, for each document's slice in a block. A block that does not match its checksum raises ValueError."""
     kind = files.schema["docs"].dataType.elementType["doc_id"].dataType.simpleString()
+    fields = to_arrow_schema(StructType.fromDDL(made))
+    names, types = ["part", "number", "doc_id", "start", *fields.names], list(fields.types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, list[dict]]] = []
@@ -113,16 +126,13 @@ def read_ids(files: DataFrame) -> DataFrame:
         def read() -> pa.RecordBatch:
             out = []
             for (part, _, slices), ids in zip(held, decode([h[1] for h in held]), strict=True):
-                raw, at = ids.tobytes(), 0
+                at = 0
                 for s in slices:
-                    out.append((part, s["number"], s["doc_id"], s["start"], raw[4 * at : 4 * (at + s["n"])]))
+                    out.append((part, s["number"], s["doc_id"], s["start"], *of(ids[at : at + s["n"]])))
                     at += s["n"]
             held.clear()
-            kinds = [pa.int32(), pa.int64(), None, pa.int64(), pa.binary()]
-            names = ["part", "number", "doc_id", "start", "ids"]
-            columns = list(zip(*out, strict=True))
-            kinds[2] = id_type
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            kinds = [pa.int32(), pa.int64(), id_type, pa.int64(), *types]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
             id_type = batch.schema.field("docs").type.value_type.field("doc_id").type
@@ -133,12 +143,18 @@ def read_ids(files: DataFrame) -> DataFrame:
         if held:
             yield read()
 
-    return files.select("part", "payload", "docs").mapInArrow(run, f"part int, number bigint, doc_id {kind}, start bigint, ids binary")
+    return files.select("part", "payload", "docs").mapInArrow(run, f"part int, number bigint, doc_id {kind}, start bigint, {made}")
+
+
+def read_ids(files: DataFrame) -> DataFrame:
+    """part, number, doc_id, start and ids (binary, little-endian unsigned 32-bit) of each slice."""
+    return read_slices(files, "ids binary", lambda ids: (ids.tobytes(),))
 
 
 def token_index(files: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, one row per document, from the ids in the files."""
-    slices = by_row(read_ids(files), ["ids"], ["part", "number", "doc_id", "start"], "n bigint, crc bigint", lambda: lambda ids: (len(ids) // 4, zlib.crc32(ids)))
+    # Summed up where the ids are decoded, so that they need not pass through a second worker of each task.
+    slices = read_slices(files, "n bigint, crc bigint", lambda ids: (len(ids), zlib.crc32(ids)))
     whole = slices.groupBy("part", "number").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("start", "n", "crc"))).alias("slices")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Callable
@@ -28,6 +29,8 @@ def id_bytes(path: str) -> Callable[[str | None], bytes]:
     Neither tokenizer here lets a token cross the place before a single blank or around a single line break, so
     such texts are encoded in these parts, each distinct part once. All other texts are encoded whole.
     """
+    # A task has one core; threads for a batch of words cost as much CPU time again. Only a setting made before is kept.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import tokenizers
 
     # A worker process serves many tasks; what one of them has encoded is kept where the next can find it.
